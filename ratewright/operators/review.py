@@ -65,6 +65,14 @@ def gini(df: DataFrame, score: Column, y: str, weight: str) -> DataFrame:
     return lorenz_points(df, score, y, weight).agg((1 - F.sum(F.col("dw") * (2 * F.col("cy") - F.col("dy")))).alias("gini"))
 
 
+def ordered_gini(df: DataFrame, score: Column, y: str, weight: str) -> DataFrame:
+    """The concentration Gini of ``score`` over that of the perfect order, by the target itself (1: perfect)."""
+    own, best = gini(df, score, y, weight), gini(df, F.col(y), y, weight)
+    both = own.select(F.lit(0).alias("k"), "gini").union(best.select(F.lit(1), "gini"))
+    pick = lambda k: F.max(F.when(F.col("k") == k, F.col("gini")))
+    return both.agg(F.try_divide(pick(0), pick(1)).alias("gini"))
+
+
 def lift_bands(df: DataFrame, order: list[Column], n: int, y: str, mu: str, weight: str) -> DataFrame:
     """band (1 to n, of equal counts by the order), n, actual and expected means."""
     w = F.col(weight).cast("double")

@@ -447,9 +447,12 @@ def concentration_gini(spark, d):
     return _round(review.gini(book(spark, d), F.col("mu"), "claims", "weight"), 7, "gini")
 
 
-@query(LORENZ.replace("mu AS s", "round(mu / (1 + CAST(p_size AS DOUBLE)), 4) AS s") + " SELECT round(1 - sum(dw * (2 * cy - dy)), 6) AS gini FROM lz")
+PERFECT = LORENZ.replace("mu AS s", "claims AS s").replace(" g AS", " gp AS").replace(" t AS", " tp AS").replace(" lz AS", " lzp AS").replace("FROM g, t", "FROM gp, tp").replace("FROM g)", "FROM gp)")
+
+
+@query(LORENZ + PERFECT + " SELECT round((1 - (SELECT sum(dw * (2 * cy - dy)) FROM lz)) / (1 - (SELECT sum(dw * (2 * cy - dy)) FROM lzp)), 6) AS gini")
 def ordered_gini(spark, d):
-    return _round(review.gini(book(spark, d), F.round(F.col("mu") / (1 + F.col("p_size").cast("double")), 4), "claims", "weight"), 6, "gini")
+    return _round(review.ordered_gini(book(spark, d), F.col("mu"), "claims", "weight"), 6, "gini")
 
 
 @query(
