@@ -238,11 +238,10 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the least of its component; all their columns.
 
-    Of rows that repeat a doc_id one stays (the least text).  Rows with a null doc_id cannot be told apart and
-    stay.
+    Rows that repeat a doc_id go only where none of their texts leads a component.  Rows with a null doc_id cannot
+    be told apart and stay.  The ids that go are joined the same way at every size.
     """
-    keep = simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    keep = materialize(keep.select(F.col("doc_id").alias("_keep")), "keep")
+    marked = simhash_components(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("leads"))
+    gone = materialize(marked.where("not leads").select(F.col("doc_id").alias("_gone")), "gone")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"))
-    known = rows.where("_id is not null").join(keep, F.col("_id") == F.col("_keep"), "left_semi")
-    return known.unionByName(rows.where("_id is null")).select("row.*")
+    return rows.join(gone.hint("merge"), F.col("_id") == F.col("_gone"), "left_anti").select("row.*")
