@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ranking import ranked
+from .store import materialize
 
 CAPACITY = 2048
 END_ID = 0
@@ -168,7 +169,9 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str |
     """
     if vocabulary is None:
         vocabulary, ranks = default_vocabulary()
-    cut = ranked(pieces(docs, vocabulary, ranks, capacity, with_ids), "length", ["doc_id", "piece"], "rank")
+    # Written first: the sort by range samples its input, and would tokenise all texts a second time.
+    made = materialize(pieces(docs, vocabulary, ranks, capacity, with_ids), "pieces")
+    cut = ranked(made, "length", ["doc_id", "piece"], "rank")
     counts = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
     plan = np.array(sorted(pack_plan(counts, capacity)), np.int64).reshape(-1, 5)
     # Runs by (length, first rank) in one sorted key; ranks stay below 2^50.
