@@ -206,6 +206,18 @@ def test_long_lines_have_the_same_simhash(spark):
     assert got == [brute.majority([xxhash.xxh64_intdigest(w.encode(), 42) for w in t.split()]) for t in (line, "a b c d e")]
 
 
+def test_packed_counts_give_the_same_simhash(spark):
+    w = PROSE.split()
+    lines = [" ".join(w), " ".join(w[:5]), " ".join(["same"] * 511), " ".join(["same"] * 512), " ".join(f"w{k % 301}" for k in range(511)), " ".join(f"w{k % 301}" for k in range(1300))]
+    text = "\n".join(lines)
+    df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, None), (3, "")], "doc_id long, text string")
+    got = linededup.fingerprinted(linededup.document_lines(df)).collect()
+    assert len(got) == 3 * len(lines)  # repeated rows are counted apart
+    for r in got:
+        assert r.fp % 2**64 == brute.majority([xxhash.xxh64_intdigest(x.encode(), 42) for x in brute.normal(lines[r.pos])])
+        assert r.len == len(" ".join(brute.normal(lines[r.pos])))
+
+
 # --- 8 ------------------------------------------------------------------------------------------------------
 
 
