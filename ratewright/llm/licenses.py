@@ -7,7 +7,9 @@ canonical form of each line, finds licence notices inside longer texts.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,8 +56,38 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
 
+# Title lines under which a text goes, besides none, and lines after which it may end.
+TITLES = {
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License", "The BSD 2-Clause License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License", "The BSD 3-Clause License", "New BSD License", "BSD License"],
+}
+ENDS = re.compile(r"^[ \t]*END OF TERMS AND CONDITIONS[ \t]*$", re.M)
+ITEM = re.compile(r"^[ \t]*(?:\d\.|\*)[ \t]*", re.M)
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """license_id and text of the files license_texts/<SPDX id>[.<variant>].txt, in their usual variants.
+
+    BSD texts: with and without title, items with numbers and with bullets.  Texts with an appendix on how to apply
+    them: with and without it, and without their closing line too.
+    """
+    out = []
+    for file in sorted(resources.files(__package__).joinpath("license_texts").iterdir(), key=lambda f: f.name):
+        name = re.sub(r"(\.[a-z]+)?\.txt$", "", file.name)
+        text = file.read_text(encoding="utf-8")
+        forms = [text]
+        if name in TITLES:
+            forms += [ITEM.sub("* ", text)]
+            forms += [f"{title}\n\n{t}" for title in TITLES[name] for t in forms]
+        elif end := ENDS.search(text):
+            forms += [text[: end.end()], text[: end.start()]]
+        out += [(name, t) for t in forms]
+    return out
+
+
 # Known licences and notices, (license_id, text).
 KNOWN = [
+    *full_texts(),
     ("MIT", "MIT License\n\n" + _MIT),
     ("MIT", "The MIT License (MIT)\n\n" + _MIT),
     ("MIT", _MIT),
