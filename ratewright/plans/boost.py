@@ -126,7 +126,8 @@ def _pick(hist: list, depth_axes: int, s: Settings, signs: dict[int, int]) -> Sp
     for axis in range(depth_axes):
         leaves = [v for (a, _), v in sorted(sums.items()) if a == axis]
         top = max((max(v) for v in leaves), default=0)
-        for bin_le, miss in product(range(1, top), (False, True)):
+        # Bin 0 alone, low, is missing against present; it leaves the order of the others as it is.
+        for bin_le, miss in [(0, True), *product(range(1, top), (False, True))]:
             gain, sound = 0.0, False
             for v in leaves:
                 total = sum(v.values())
@@ -135,7 +136,7 @@ def _pick(hist: list, depth_axes: int, s: Settings, signs: dict[int, int]) -> Sp
                 if min(low[2], high[2]) >= s.least_rows:
                     sound = True
                     gain += low[0] ** 2 / (low[1] + s.l2) + high[0] ** 2 / (high[1] + s.l2) - total[0] ** 2 / (total[1] + s.l2)
-                    if (sign := signs.get(axis)) and sign * (high[0] / (high[1] + s.l2) - low[0] / (low[1] + s.l2)) > 0:
+                    if bin_le and (sign := signs.get(axis)) and sign * (high[0] / (high[1] + s.l2) - low[0] / (low[1] + s.l2)) > 0:
                         gain, sound = -np.inf, False
             if sound and gain > best * (1 + 1e-12):
                 best, chosen = gain, Split(axis, bin_le, miss)
