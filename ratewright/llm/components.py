@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Each step is a grouped minimum and a join; each round is written to the shared folder.  Nothing is
-collected: the driver only sees a count and a checksum to notice that a round changed nothing.
+Each step is a grouped minimum and a join; each round is written to the shared folder, and the one before it
+deleted.  Nothing is collected: the driver only sees counts and a checksum, and compares the edges themselves
+where these agree.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import Scratch, materialize
 
 #: Rounds needed grow with the logarithm of the longest chain; this stops only on a defect.
 MAX_ROUNDS = 60
@@ -20,6 +21,11 @@ def _signature(edges: DataFrame):
     return edges.agg(F.count("*"), F.sum(low)).first()
 
 
+def _same(one: DataFrame, two: DataFrame) -> bool:
+    """Whether two sets of edges of the same size are equal."""
+    return not one.join(two, ["u", "v"], "left_anti").limit(1).count()
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
     least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("w"))
@@ -39,16 +45,22 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Nulls and loops are ignored, repeated edges count once; an empty table gives an empty result.
     """
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    current = materialize(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    held = Scratch(edges.sparkSession, "edges")
+    current = held.keep(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = _signature(current)
     for _ in range(MAX_ROUNDS if seen[0] else 0):
-        current = materialize(_small_star(_large_star(current)), "edges")
-        now = _signature(current)
-        if now == seen:
+        ahead = Scratch(edges.sparkSession, "edges")
+        after = ahead.keep(_small_star(_large_star(current)), "edges")
+        now = _signature(after)
+        settled = now == seen and _same(after, current)
+        held.clear()
+        held, current, seen = ahead, after, now
+        if settled:
             break
-        seen = now
     else:
         if seen[0]:
             raise RuntimeError("components did not settle")
     roots = current.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
-    return current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+    out = materialize(current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots), "roots")
+    held.clear()
+    return out

@@ -227,7 +227,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     """
     prints = materialize(fingerprints(docs), "fingerprints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = materialize(connected_components(near_links(distinct.select("fp")), "a", "b"), "roots")
+    roots = connected_components(near_links(distinct.select("fp")), "a", "b")
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     leads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     lookup = rooted.join(leads, "root").select(F.col("fp").alias("_fp"), "component_id")

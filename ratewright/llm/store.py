@@ -16,6 +16,8 @@ LOCAL_DEFAULT = "file:///tmp/checkpoints/ratewright"
 
 #: A side is broadcast only when a count has shown that it has no more rows than this.
 BROADCAST_ROWS = 50_000
+#: The same for rows of one or two numbers or digests: 20 to 40 MB in memory.
+BROADCAST_NARROW = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,12 +36,43 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that :func:`new_path` named, through Hadoop's file systems."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return a DataFrame that reads it."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, new_path(df.sparkSession, name))
+
+
+class Scratch:
+    """Tables of one piece of work, below one folder of the shared folder.
+
+    :meth:`clear` deletes them; what is to outlive it goes through :func:`materialize`.  An exception clears too.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.tables = spark, new_path(spark, name), 0
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables += 1
+        return _written(df, f"{self.path}/{self.tables}-{name}")
+
+    def clear(self) -> None:
+        delete(self.spark, self.path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.clear()
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
