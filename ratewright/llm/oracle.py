@@ -31,7 +31,7 @@ FROM d"""
 
 def _quality() -> str:
     rules = quality.RULES
-    bucket = ", ".join(f"CASE WHEN {den} = 0 THEN 0 ELSE least({quality.TOP}, {num} * {factor} // {den}) END AS b_{k}" for k, (num, factor, den, _) in rules.items())
+    bucket = ", ".join(f"CASE WHEN {den} = 0 THEN 0 ELSE {num} * {factor} // {den} END AS b_{k}" for k, (num, factor, den, _) in rules.items())
     names = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS name, b_{k} AS b FROM judged WHERE NOT base_failed" for k in rules)
     slack = " ".join(f"WHEN '{k}' THEN {r[3]}" for k, r in rules.items())
 

@@ -20,8 +20,6 @@ MAX_REPEAT_PERCENT = 50
 MIN_GROUP = 50
 #: Quartile distances allowed beyond the quartiles.
 REACH = 3
-#: Highest bucket; larger values share it.
-TOP = 1_000_000
 #: For each measure: numerator, factor, denominator, and the buckets allowed beyond the fence (a group whose
 #: quartiles coincide still tolerates this much).
 RULES = {
@@ -41,7 +39,7 @@ def buckets(m: Column) -> Column:
     """The integer bucket of each measure; zero where there is nothing to divide by."""
 
     def one(num: str, factor: int, den: str) -> Column:
-        return F.when(m[den] == 0, F.lit(0)).otherwise(F.least(F.lit(TOP), F.floor((m[num] * factor).cast("decimal(20,0)") / F.greatest(m[den], F.lit(1)))).cast("int"))
+        return F.when(m[den] == 0, F.lit(0).cast("long")).otherwise(F.call_function("div", m[num] * factor, F.greatest(m[den], F.lit(1))))
 
     return F.struct(*[one(num, f, den).alias(name) for name, (num, f, den, _) in RULES.items()])
 
@@ -105,7 +103,7 @@ def quality_table(docs: DataFrame) -> DataFrame:
     or source counts as the empty one; repeated rows are judged alike and each counts in the sketches; an
     empty table gives an empty result; other columns are ignored.
     """
-    m = docs.select("doc_id", _group("lang"), _group("source"), measures(F.col("text")).alias("m"))
+    m = docs.select("doc_id", _group("lang"), _group("source"), F.explode(F.array(measures(F.col("text")))).alias("m"))
     m = m.select("doc_id", "lang", "source", "m", base_failed(F.col("m")).alias("failed"))
     measured = materialize(m, "quality").withColumn("b", buckets(F.col("m")))
     table = materialize(fences(sketches(measured.where(~F.col("failed")))), "fences")
@@ -123,7 +121,8 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     Texts are measured once for the sketches and once for the filter; only the measures are shuffled, and
     where the fences are too many to broadcast, the documents are joined by language and source.
     """
-    rows = docs.select(F.struct("*").alias("row"), _group("lang"), _group("source"), measures(F.col("text")).alias("m"))
+    # A generator of one row: through it, the measures are taken once, however often they are used.
+    rows = docs.select(F.struct("*").alias("row"), _group("lang"), _group("source"), F.explode(F.array(measures(F.col("text")))).alias("m"))
     rows = rows.select("*", base_failed(F.col("m")).alias("failed"), buckets(F.col("m")).alias("b"))
     passed = rows.where(~F.col("failed"))
     table = materialize(fences(sketches(passed.select("lang", "source", "b"))), "fences")
