@@ -9,21 +9,38 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ranking import ranked
+from .store import let
 
 #: 53 bits of the hash make u: all doubles involved are exact.
 _UNIT = float(1 << 53)
 
 
-def rendezvous(key: Column, weights: list[float]) -> Column:
-    """The shard (0 to len(weights) - 1) of a key.
+def key_hash(docs: DataFrame, name: str) -> Column:
+    """The hash of a key column; equal ids hash alike whatever type holds them.
+
+    Whole numbers that fit a long hash as one, whether they come as a number or as its decimal text; all else hashes
+    as text.  A null hashes as the seed alone.
+    """
+    kind, key = docs.schema[name].dataType, F.col(name)
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return F.xxhash64(key.cast("long"))
+    text = key.cast("string")
+    whole = key.try_cast("long") if isinstance(kind, T.NumericType) else text.try_cast("long")
+    same = whole == key if isinstance(kind, T.NumericType) else whole.cast("string") == text
+    return F.when(same, F.xxhash64(whole)).otherwise(F.xxhash64(text))
+
+
+def rendezvous(key: Column, weights: list[float], hashed: bool = False) -> Column:
+    """The shard (0 to len(weights) - 1) of a key, or of its hash.
 
     Ties go to the higher shard; a null key hashes as the seed alone, so all null keys share a shard.
     """
     if not weights or min(weights) <= 0:
         raise ValueError("weights must be positive and at least one")
-    return F.get(F.transform(F.array(F.xxhash64(key)), lambda base: _best(base, weights)), F.lit(0))
+    return let(key if hashed else F.xxhash64(key), lambda base: _best(base, weights))
 
 
 def _best(base: Column, weights: list[float]) -> Column:
@@ -47,13 +64,14 @@ def shard_documents(docs: DataFrame, weights: list[float], grown: list[float] |
     to one shard and get a slot each; an empty table gives an empty result; other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
+    base = key_hash(docs, "doc_id")
     rows = docs.select(
         F.col("doc_id"),
         (F.octet_length(text).cast("long") + 16).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
-        rendezvous(F.col("doc_id"), weights).cast("int").alias("shard"),
-        (rendezvous(F.col("doc_id"), grown) if grown else F.lit(None)).cast("int").alias("grown_shard"),
+        rendezvous(base, weights, True).cast("int").alias("shard"),
+        (rendezvous(base, grown, True) if grown else F.lit(None)).cast("int").alias("grown_shard"),
     )
     out = ranked(rows, "shard", ["doc_id", "text_crc32", "size"], "slot")
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
