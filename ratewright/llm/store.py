@@ -16,8 +16,8 @@ LOCAL_DEFAULT = "file:///tmp/checkpoints/ratewright"
 
 #: A side is broadcast only when a count has shown that it has no more rows than this.
 BROADCAST_ROWS = 50_000
-#: The same for rows of one or two numbers or digests: 20 to 40 MB in memory.
-BROADCAST_NARROW = 400_000
+#: The same for rows of one or two numbers or digests: 30 to 90 MB in memory.
+BROADCAST_NARROW = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -83,7 +83,7 @@ def quality(rows):
     for _, text, lang, source in rows:
         m = measures(text)
         failed = m["n_words"] < 50 or 100 * m["n_repeat_words"] > 50 * m["n_words"]
-        b = {k: min(1_000_000, m[n] * f // m[d]) if m[d] else 0 for k, (n, f, d, _) in rules.items()}
+        b = {k: m[n] * f // m[d] if m[d] else 0 for k, (n, f, d, _) in rules.items()}
         judged.append((m, failed, b, lang or "", source or ""))
         if not failed:
             for key in ((lang or "", source or ""), (lang or "",), ()):
@@ -109,7 +109,8 @@ def quality(rows):
 
 def normal(line):
     low = re.sub("[0-9]", "0", line.lower())
-    return [w for w in re.split(r"[ -/:-@\[-`{-~\t\x0b-\r]+", low) if w]
+    bare = line.strip(" \t\x0b\x0c\r")
+    return [w for w in re.split(r"[ -/:-@\[-`{-~\t\x0b-\r]+", low) if w] or ([bare] if bare else [])
 
 
 def edit_distance(a, b):
@@ -121,18 +122,30 @@ def edit_distance(a, b):
     return row[-1]
 
 
+def similar_lines(a, b):
+    """Edit similarity of 0.8 of two normalised lines: by words for every four letters, by characters where neither has over eight words."""
+    x, y = a.split(" "), b.split(" ")
+    units = lambda w: [u for u in w for _ in range(-(-len(u) // 4))]
+    x, y = (a, b) if max(len(x), len(y)) <= 8 else (units(x), units(y))
+    most = int(max(len(x), len(y)) * 0.2 + 1e-9)
+    if abs(len(x) - len(y)) > most or max(sum((Counter(x) - Counter(y)).values()), sum((Counter(y) - Counter(x)).values())) > most:
+        return False  # each edit mends one surplus at most
+    return edit_distance(x, y) <= most
+
+
 def line_dedup(rows):
-    """The text of each (doc_id, text) row without repeated lines, and how many lines went; ids are distinct."""
+    """The text of each (doc_id, text) row without repeated lines, and how many lines went; ids are distinct.
+
+    Lines are linked by edit similarity alone, however they are found.
+    """
     places = defaultdict(list)
     for doc, text in rows:
         for pos, line in enumerate((text or "").split("\n")):
-            if len(w := normal(line)) >= 5:
+            if w := normal(line):
                 places[" ".join(w)].append((doc, pos))
-    prints = {x: majority([xxhash.xxh64_intdigest(w.encode(), 42) for w in x.split()]) for x in places}
     sets = Sets()
     for a, b in combinations(places, 2):
-        longest = max(len(a), len(b))
-        if (prints[a] ^ prints[b]).bit_count() <= 3 and edit_distance(a, b) <= int(longest * 0.2 + 1e-9):
+        if similar_lines(a, b):
             sets.join(a, b)
     groups = defaultdict(list)
     for x, p in places.items():

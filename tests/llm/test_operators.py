@@ -154,6 +154,20 @@ def test_shards(request, which):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
+def test_equal_ids_of_other_types_share_a_shard(spark):
+    ids = [0, 1, -5, 17, 123456789, 2**31 - 1]
+    base = spark.createDataFrame([(i, "t") for i in ids], "doc_id long, text string")
+    want = {r.doc_id: r.shard for r in shards.shard_documents(base, [1.0] * 40).collect()}
+    for kind in ("int", "decimal(20,0)", "decimal(12,2)", "double", "string"):
+        got = shards.shard_documents(base.withColumn("doc_id", F.col("doc_id").cast(kind)), [1.0] * 40).collect()
+        if kind == "string":
+            assert {int(r.doc_id): r.shard for r in got} == want
+        else:
+            assert {int(r.doc_id): r.shard for r in got} == want
+    odd = spark.createDataFrame([("a-1", "t"), ("007", "t"), (None, "t")], "doc_id string, text string")
+    assert len(shards.shard_documents(odd, [1.0] * 40).collect()) == 3
+
+
 def test_shards_weights_nulls_and_nothing(spark, nothing):
     df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     n = Counter(r.shard for r in shards.shard_documents(df, [1.0, 3.0]).select("shard").collect())
@@ -211,11 +225,42 @@ def test_packed_counts_give_the_same_simhash(spark):
     lines = [" ".join(w), " ".join(w[:5]), " ".join(["same"] * 511), " ".join(["same"] * 512), " ".join(f"w{k % 301}" for k in range(511)), " ".join(f"w{k % 301}" for k in range(1300))]
     text = "\n".join(lines)
     df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, None), (3, "")], "doc_id long, text string")
-    got = linededup.fingerprinted(linededup.document_lines(df)).collect()
-    assert len(got) == 3 * len(lines)  # repeated rows are counted apart
+    assert linededup.occurrences(df).count() == 3 * len(lines)  # repeated rows are counted apart
+    found = linededup.distinct_lines(df)
+    norms = {r.id: r.norm for r in found.collect()}
+    got = linededup.fingerprinted(found).collect()
+    assert len(got) == len(lines) and {r.n for r in found.collect()} == {3}
     for r in got:
-        assert r.fp % 2**64 == brute.majority([xxhash.xxh64_intdigest(x.encode(), 42) for x in brute.normal(lines[r.pos])])
-        assert r.len == len(" ".join(brute.normal(lines[r.pos])))
+        every = brute.normal(norms[r.id])
+        taken = [x for x in every if len(x) >= linededup.LETTERS] or every
+        assert r.fp % 2**64 == brute.majority([xxhash.xxh64_intdigest(x.encode(), 42) for x in taken])
+        assert (r.len, r.words) == (len(norms[r.id]), len(every))
+    assert sorted(norms.values()) == sorted(" ".join(brute.normal(x)) for x in lines)
+
+
+def test_line_codes_keep_edit_distances(spark):
+    texts = ["one two three four", "one three four five", "a", "one two two one", "immeasurably one"]
+    units = lambda t: [u for u in t.split(" ") for _ in range(-(-len(u) // linededup.UNIT))]
+    codes = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(linededup.word_code(F.col("t"))).collect()]
+    for t, c in zip(texts, codes, strict=True):
+        assert len(c) == len(units(t))
+        for u, e in zip(texts, codes, strict=True):
+            assert brute.edit_distance(c, e) == brute.edit_distance(units(t), units(u))
+
+
+def test_thousands_of_near_lines_become_one(spark):
+    """One group of near copies of a line, with far more lines than are paired at once, and lines that only share its start."""
+    rng = np.random.default_rng(8)
+    words = PROSE.split()[:40]
+    rows = []
+    for k in range(3000):
+        own = list(words)
+        for at in rng.integers(0, 40, 2):
+            own[at] = "".join(chr(97 + x) for x in rng.integers(0, 26, 6))
+        rows.append((k, " ".join(own)))
+    rows += [(5000 + k, " ".join([*words[:8], *("".join(chr(97 + x) for x in rng.integers(0, 26, 7)) for _ in range(32))])) for k in range(60)]
+    got = linededup.line_dedup_table(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if not r.n_removed} == {0, *range(5000, 5060)}
 
 
 # --- 8 ------------------------------------------------------------------------------------------------------
