@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -19,11 +20,20 @@ from pyspark.sql import functions as F
 
 from .store import materialize, small_side
 
-#: A node is judged by its host's pages if it stands on this many.
-MIN_PAGES = 8
+#: A node is judged by its host's pages if it stands on this many; up to MANY_PAGES, few pages repeat by chance, and
+#: it is noise only below the importance SURE.
+MIN_PAGES = 3
+MANY_PAGES = 8
+SURE = 0.02
 #: Importance below which a branch is noise, and the weight of content against presentation.
 NOISE = 0.2
 GAMMA = 0.9
+#: Elements nested deeper are counted as parts of the one at this depth; their text is kept like any other.
+DEPTH = 64
+#: An ``article`` or ``main`` with less than this share of a page's text does not stand for the page.
+MAIN_SHARE = 0.4
+#: Marked node lists that may be broadcast: 8 MB of longs.
+NOISY_NODES = 1_000_000
 
 # Element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,6 +51,9 @@ MARKED = frozenset(
     " replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toast toolbar topbar widget widgets".split()
 )
 
+#: Words that make a class name tell of a state or of what else the page has, not of the branch itself.
+STATES = frozenset("has have no not non with without is open opened closed enabled disabled on off allow allowed allows hide hidden show shown supports".split())
+
 _NAME = r"[a-zA-Z][^\s/>]*"
 TAG = re.compile(rf"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)({_NAME})((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)({_NAME})([^>]*)>|<[!?/][^>]*(?:>|\Z)|<{_NAME}[^>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -54,7 +67,8 @@ def _attributes(text: str) -> tuple[str, frozenset[str], bool, str]:
     for name, a, b, c in ATTRIBUTE.findall(text):
         values.setdefault(name.lower(), _html.unescape(a or b or c))
     shown = " ".join(values.get(k, "") for k in ("class", "id"))
-    words = frozenset(WORDS.findall(f"{shown} {values.get('role', '')}".lower()))
+    names = [WORDS.findall(n) for n in f"{shown} {values.get('role', '')}".lower().split()]
+    words = frozenset(w for name in names if STATES.isdisjoint(name) for w in name)
     style = values.get("style", "").replace(" ", "").lower()
     hidden = "hidden" in values or "display:none" in style or "visibility:hidden" in style or values.get("aria-hidden") == "true"
     return " ".join(WORDS.findall(shown.lower())), words, hidden, values.get("role", "").lower()
@@ -74,6 +88,7 @@ class Page:
         self.blocks: list[tuple[str, bool, tuple[int, ...]]] = []
         self.styles: set[tuple[int, int]] = set()
         self.stack = [_Node("", 0, False, False)]
+        self.open: Counter[str] = Counter()
         self.held: list[str] = []
         self._parse(text)
 
@@ -82,15 +97,18 @@ class Page:
             text = " ".join("".join(self.held).split())
             self.held = []
             if text and not self.stack[-1].dropped:
-                self.blocks.append((text, self.stack[-1].main, tuple(n.sign for n in self.stack[1:])))
+                self.blocks.append((text, self.stack[-1].main, tuple(n.sign for n in self.stack[1 : DEPTH + 1])))
 
     def _pop(self) -> None:
         node = self.stack.pop()
+        self.open[node.tag] -= 1
         if not node.dropped and node.tag in BLOCKS:
             self.styles.add((node.sign, xxhash.xxh64_intdigest(" ".join(node.children)) >> 1))
 
     def _close(self, tag: str, through: frozenset[str] | set[str] = frozenset()) -> None:
         """End the innermost open ``tag`` (or one of ``through``), unless a scope stands between."""
+        if not self.open[tag] and not any(self.open[t] for t in through):
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             name = self.stack[k].tag
             if name == tag or name in through:
@@ -118,7 +136,8 @@ class Page:
         heading = above.main and tag in ("header", "hgroup") or above.main and not words & (MARKED - {"banner"}) and "header" in words
         marked = not exempt and (tag in DROPPED or bool(words & MARKED) or tag == "header" or bool(words & {"header"} and tag in BLOCKS)) and not heading
         main = above.main or tag in MAIN or role == "main"
-        sign = xxhash.xxh64_intdigest(f"{above.sign} {tag} {shown}") >> 1
+        sign = xxhash.xxh64_intdigest(f"{above.sign} {tag} {shown}") >> 1 if len(self.stack) <= DEPTH else above.sign
+        self.open[tag] += 1
         self.stack.append(_Node(tag, sign, above.dropped or marked or hidden, main))
 
     def _parse(self, text: str) -> None:
@@ -136,7 +155,7 @@ class Page:
                 continue
             tag, ends, attributes = tag.lower(), found[1] or found[4], (found[3] or found[6] or "")
             if ends:
-                if tag == "p" and not any(n.tag == "p" for n in self.stack):
+                if tag == "p" and not self.open["p"]:
                     self._flush()
                 self._close(tag)
             elif tag in VOID:
@@ -166,11 +185,12 @@ class Page:
 
 
 def main_text(page: Page, noise: frozenset[int] | set[int] = frozenset()) -> str:
-    """The blocks of the main part (of the whole page if it has none), without noisy branches, parted by blank lines.
+    """The blocks of the main part (of the whole page if it has none to speak of), without noisy branches, parted by blank lines.
 
     Where every block would be noise, as on hosts that repeat one article, none is removed.
     """
-    own = [b for b in page.blocks if b[1]] or page.blocks
+    main, size = [b for b in page.blocks if b[1]], lambda blocks: sum(len(b[0]) for b in blocks)
+    own = main if size(main) >= MAIN_SHARE * size(page.blocks) else page.blocks
     clean = [b for b in own if noise.isdisjoint(b[2])] if noise else own
     return "\n\n".join(b[0] for b in clean or own)
 
@@ -227,9 +247,12 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     columns are ignored.
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html", host_of(F.col("url")).alias("host"))
-    noisy = node_importance(rows).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < NOISE))
+    least = F.when(F.col("pages") < MANY_PAGES, SURE).otherwise(NOISE)
+    noisy = node_importance(rows).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < least))
     noisy = noisy.groupBy(F.col("host").alias("_host")).agg(F.collect_set("sign").alias("noise"))  # at most the nodes on MIN_PAGES pages
-    joined = rows.join(small_side(materialize(noisy, "noise"), 2_000), F.col("host") == F.col("_host"), "left")
+    noisy = materialize(noisy, "noise")
+    few = (noisy.agg(F.sum(F.size("noise"))).first()[0] or 0) <= NOISY_NODES
+    joined = rows.join(small_side(noisy) if few else noisy, F.col("host") == F.col("_host"), "left")
 
     def run(batches):
         for batch in batches:

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import time
 from collections import Counter
 
 import pytest
@@ -98,3 +99,56 @@ def test_branches_that_a_host_repeats_are_noise(spark):
     assert got[3] == "Own words 3 9" and got[101] == "Same words on each page\n\nOwn words 1 1"
     copies = [(k, f"http://copies/{k}", page(1)) for k in range(12)]
     assert {r.text for r in html_extract.extract_pages(spark.createDataFrame(page_rows(*copies), PAGES)).collect()} == {"Same words on each page\n\nOwn words 1 1"}
+
+
+STORY = "The river bends past an old mill where farmers bring grain in autumn, and children swim there in summer."
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    ['div class="layout has-sidebar"', 'div class="main-content no-sidebar"', 'div id="page-with-menu"', 'article class="post comments-open"', 'div class="post share-enabled"', 'div class="story"'],
+)
+def test_names_of_states_do_not_drop_an_article(wrapper):
+    page = f"<html><body><nav>Home</nav><{wrapper}><p>{STORY}</p><div class='sidebar'>Popular</div></{wrapper.split()[0]}><div class='site-footer'>All rights</div></body></html>"
+    assert html_extract.main_text(html_extract.Page(page)) == STORY
+
+
+def test_a_teaser_does_not_stand_for_the_page():
+    page = f"<body><article><p>A short teaser.</p></article><div class=story><p>{STORY}</p><p>{STORY} And more.</p></div></body>"
+    assert html_extract.main_text(html_extract.Page(page)) == f"A short teaser.\n\n{STORY}\n\n{STORY} And more."
+
+
+def test_deep_nesting_takes_seconds():
+    began = time.time()
+    page = html_extract.Page("".join(f"<div>word{k}" for k in range(100_000)) + "</p>" * 1000)
+    assert html_extract.main_text(page).split("\n\n") == [f"word{k}" for k in range(100_000)] and time.time() - began < 30
+
+
+def test_three_pages_with_unlisted_names(spark):
+    pages = [(k, f"http://small.example/{k}", f"<body><div class=zx9>Tell us what you think of this place</div><div class=q7><p>{STORY} It was day {k} {'abc'[k] * 9}.</p></div></body>") for k in range(3)]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"{STORY} It was day {k} {'abc'[k] * 9}." for k in range(3)}
+
+
+def test_node_importance_equals_brute_force(spark):
+    import math
+    from collections import Counter, defaultdict
+
+    pages = [("h", f"<body><div class=top>Same words</div><div class=mid><p>Own words of {k}</p>{'<ul><li>x</ul>' * (k % 3)}</div></body>") for k in range(6)]
+    got = {r.sign: (r.pages, r.importance) for r in html_extract.node_importance(spark.createDataFrame(pages, "host string, html string")).collect()}
+    on, styles, contents = Counter(), defaultdict(Counter), defaultdict(Counter)
+    for _, text in pages:
+        page = html_extract.Page(text)
+        own = {(s, t) for t, _, signs in page.blocks for s in signs}
+        on.update({s for s, _ in own})
+        for s, v in page.styles:
+            styles[s][v] += 1
+        for s, t in own:
+            contents[s][t] += 1
+    assert set(got) == {s for s, n in on.items() if n > 1}
+    for s, (n, importance) in got.items():
+        repeat = sum(math.log(c, n) for c in contents[s].values()) / len(contents[s])
+        shown = sum(styles[s].values())
+        entropy = -sum(c / shown * math.log(c / shown, n) for c in styles[s].values()) if shown else 0.0
+        weight = 0.9 ** max(len(styles[s]), 1)
+        assert n == on[s] and abs(importance - ((1 - weight) * min(entropy, 1.0) + weight * (1 - repeat))) < 1e-9
