@@ -1,4 +1,4 @@
-"""Column expressions shared by the operators; all stay inside whole-stage code generation."""
+"""Column expressions shared by the operators; all stay inside whole-stage code generation (bins are a tree of CASEs)."""
 
 from __future__ import annotations
 
@@ -18,11 +18,17 @@ def missing(v: Column) -> Column:
 def bin_index(v: Column, borders: Sequence[float]) -> Column:
     """0 for a missing value, else 1 + the number of borders below it: bins are closed on the right.
 
-    Values and borders are compared as floats; infinities fall into the end bins.
+    Values and borders are compared as floats; infinities fall into the end bins.  A tree of CASEs halves the borders.
     """
     value = v.cast("float")
-    edges = F.array(*[F.lit(float(b)).cast("float") for b in borders]) if borders else F.array().cast("array<float>")
-    return F.when(missing(value), F.lit(0)).otherwise(1 + F.size(F.filter(edges, lambda b: b < value)))
+
+    def among(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low + 1)
+        mid = (low + high) // 2
+        return F.when(value <= F.lit(float(borders[mid])).cast("float"), among(low, mid)).otherwise(among(mid + 1, high))
+
+    return F.when(missing(value), F.lit(0)).otherwise(among(0, len(borders)))
 
 
 def low_bit(bin_: Column, at_most: int, missing_low: bool) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import missing
+from .ordered import running
 
 
 def distinct_values(df: DataFrame, value: str, weight: str | None = None) -> DataFrame:
@@ -32,15 +33,18 @@ def quantile_borders(df: DataFrame, value: str, weight: str, max_bin: int) -> Da
 
     A quantile is the least value whose cumulative weight reaches its share.
     """
-    rows = distinct_values(df, value, weight)
-    upto = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.select("v", F.sum("w").over(upto).alias("cum"))
-    total = rows.agg(F.sum("w").alias("total"))
-    shares = df.sparkSession.range(1, max_bin).select((F.col("id") / F.lit(max_bin)).alias("q"))
-    # One row of totals and max_bin - 1 shares: both bounded.
-    targets = shares.join(F.broadcast(total)).select((F.col("q") * F.col("total")).alias("target"))
-    hit = placed.join(F.broadcast(targets), F.col("cum") >= F.col("target")).groupBy("target").agg(F.min("v").alias("border"))
-    return hit.select("border").distinct()
+    rows = running(distinct_values(df, value, weight), [F.col("v").asc()], ["w"])
+    total = distinct_values(df, value, weight).agg(F.sum("w").alias("total"))  # one row
+    placed = rows.join(F.broadcast(total))
+    target = lambda i: i / F.lit(max_bin) * F.col("total")
+    past = F.col("cum_w") - F.col("w")
+    near = F.floor(past / F.col("total") * max_bin)
+    hit = F.lit(False)
+    for step in (0, 1, 2):  # the next share above the rows before, and one on either side against rounding
+        i = near + step
+        hit = hit | ((i >= 1) & (i < max_bin) & (target(i) <= F.col("cum_w")) & (target(i) > past))
+    # A heavy value may pass several shares; the first of them is tried.
+    return placed.where(hit).select(F.col("v").alias("border"))
 
 
 def collapse_rare(borders: list[float], counts: list[int], least: int) -> list[float]:

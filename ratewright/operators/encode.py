@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running
+
 #: Levels that stand for missing values and for pooled rare ones.
 MISSING = "__missing__"
 RARE = "<rare>"
 
 
 def level_of(column: Column) -> Column:
-    return F.coalesce(column.cast("string"), F.lit(MISSING))
+    """The level of a value: MISSING for a null; values that look like a reserved level are told apart by a prefix."""
+    text = column.cast("string")
+    taken = F.startswith(text, F.lit(MISSING)) | F.startswith(text, F.lit(RARE))
+    return F.when(text.isNull(), F.lit(MISSING)).when(taken, F.concat(F.lit(f"{MISSING}:"), text)).otherwise(text)
 
 
 def base_rate(df: DataFrame, y: str, weight: str, exposure: str) -> DataFrame:
@@ -72,9 +77,10 @@ def leave_one_out(df: DataFrame, level: str, y: str, weight: str, exposure: str,
 def ordered_encoding(df: DataFrame, level: str, y: str, weight: str, exposure: str, strength: float, base: float, order: list[Column]) -> DataFrame:
     """``df`` with column encoding: the level's encoding from the rows before it."""
     w = F.col(weight).cast("double")
-    before = Window.partitionBy(level_of(F.col(level))).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    past = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0.0))
-    return df.withColumn("encoding", shrunken(past(w * F.col(y)), past(w * F.col(exposure)), F.lit(base), strength))
+    rows = df.withColumns({"_level": level_of(F.col(level)), "_wy": w * F.col(y), "_we": w * F.col(exposure)})
+    placed = running(rows, order, ["_wy", "_we"], "_level")
+    past = lambda c: F.col(f"cum_{c}") - F.col(c)
+    return placed.select(*df.columns, shrunken(past("_wy"), past("_we"), F.lit(base), strength).alias("encoding"))
 
 
 def count_channel(df: DataFrame, level: str, weight: str) -> DataFrame:

@@ -8,7 +8,6 @@ folder every few rounds.
 from __future__ import annotations
 
 import json
-import uuid
 from collections import defaultdict
 from dataclasses import asdict, dataclass, field
 from itertools import combinations, product
@@ -21,6 +20,7 @@ from ..errors import ExactnessError
 from ..functions import expr as X
 from ..operators import binning, encode, training
 from ..sources.book import categorical_features, select_features, validate
+from ..sources.shared import new_path, written
 
 
 @dataclass
@@ -157,7 +157,9 @@ def fit(df: DataFrame, features: list[str], y: str, settings: Settings | None =
     train = rows.where(~F.col("_out"))
     borders, levels, unseen = _grids(train, features, "_y", "_w", "_e", s)
     log = X.LINKS[s.loss] == "log"
-    ratio = F.sum(F.col("_w") * F.col("_y")) / F.sum(F.col("_w") * F.col("_e") if log else F.col("_w"))
+    # With exposure e, the constant that zeroes the gradient: sum(w y e^(1-p)) / sum(w e^(2-p)).
+    p = {"gamma": 2.0, "tweedie": s.power}.get(s.loss, 1.0)
+    ratio = F.sum(F.col("_w") * F.col("_y") * (F.pow("_e", F.lit(1 - p)) if log else 1)) / F.sum(F.col("_w") * (F.pow("_e", F.lit(2 - p)) if log else 1))
     f0 = train.agg(X.initial_score(s.loss, ratio)).first()[0]
     model = Model(s, features, borders, levels, unseen, float(f0), [])
     offset = F.ln("_e") if log else F.lit(0.0)
@@ -199,10 +201,7 @@ def fit(df: DataFrame, features: list[str], y: str, settings: Settings | None =
 
 def _cut(df: DataFrame) -> DataFrame:
     """``df`` read back from the folder of spark.checkpoint.dir."""
-    spark = df.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir', 'file:///tmp/checkpoints/ratewright')}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, new_path(df.sparkSession, "round"))
 
 
 Tables = dict[tuple[int, ...], np.ndarray]

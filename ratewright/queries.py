@@ -455,16 +455,29 @@ def ordered_gini(spark, d):
     return _round(review.ordered_gini(book(spark, d), F.col("mu"), "claims", "weight"), 6, "gini")
 
 
-@query(
-    f"SELECT CAST(band AS INT) AS band, count(*) AS n, round(sum(weight * claims) / sum(weight), 7) AS actual, round(sum(weight * mu) / sum(weight), 7) AS expected FROM (SELECT *, ntile(10) OVER (ORDER BY mu, {', '.join(KEYS)}) AS band FROM book) GROUP BY 1"
+LIFT = (
+    f", o AS (SELECT *, row_number() OVER (ORDER BY mu DESC, {', '.join(KEYS)}) - 1 AS place, count(*) OVER () AS every FROM book), b AS (SELECT i, (i * every) // 10 AS low, ((i + 1) * every) // 10 AS high FROM range(0, 10) r(i), (SELECT count(*) AS every FROM book)),"
+    " lift AS (SELECT CAST(i + 1 AS INT) AS bucket, count(*) AS rows, sum(weight * claims) / sum(weight) AS mean_y, sum(weight * mu) / sum(weight) AS mean_pred FROM o JOIN b ON place >= low AND place < high GROUP BY i),"
+    " lifts AS (SELECT bucket, rows, round(mean_y, 7) AS mean_y, round(mean_pred, 7) AS mean_pred, round(mean_y / (SELECT sum(weight * claims) / sum(weight) FROM book), 7) AS lift FROM lift)"
 )
+
+
+@query(LIFT + " SELECT * FROM lifts")
 def lift_curve(spark, d):
-    return _round(review.lift_bands(book(spark, d), [F.col("mu"), *map(F.col, KEYS)], 10, "claims", "mu", "weight"), 7, "actual", "expected")
+    return _round(review.lift_curve(book(spark, d), "mu", KEYS, 10, "claims", "mu", "weight"), 7, "mean_y", "mean_pred", "lift")
+
+
+@query(LIFT + " SELECT lift FROM lifts WHERE bucket = 1")
+def top_bucket_lift(spark, d):
+    return _round(review.top_bucket_lift(book(spark, d), "mu", KEYS, 10, "claims", "mu", "weight"), 7, "lift")
 
 
-@query(LORENZ + " SELECT CAST(least(10, 1 + floor((cw - dw) * 10 + 0.000000001)) AS INT) AS band, round(sum(dw) * max(tw), 4) AS weight, round(sum(dy) * max(ty) / (sum(dw) * max(tw)), 7) AS actual FROM lz, t GROUP BY 1")
+@query(
+    LORENZ.replace("sum(weight * claims) AS wy FROM", "sum(weight * claims) AS wy, count(*) AS n FROM").replace("SELECT s, w / tw", "SELECT s, n, w / tw")
+    + " SELECT CAST(least(10, 1 + floor((cw - dw / 2) * 10 + 0.000000001)) AS INT) AS band, CAST(sum(n) AS BIGINT) AS rows, round(sum(dw) * max(tw), 4) AS weight, round(sum(dy) * max(ty) / (sum(dw) * max(tw)), 7) AS actual, round(sum(dw * s) / sum(dw), 7) AS predicted FROM lz, t GROUP BY 1"
+)
 def lift_equal_mass(spark, d):
-    return _round(_round(review.lift_equal_mass(book(spark, d), F.col("mu"), 10, "claims", "weight"), 4, "weight"), 7, "actual")
+    return _round(_round(review.lift_equal_mass(book(spark, d), F.col("mu"), 10, "claims", "weight"), 4, "weight"), 7, "actual", "predicted")
 
 
 @query(
@@ -505,9 +518,13 @@ def confusion_matrix(spark, d):
     return review.confusion(book(spark, d).select(F.col("l_returnflag").alias("actual"), said.alias("predicted"), "weight"), "actual", "predicted", "weight")
 
 
-@query("SELECT CAST(greatest(0, least(19, floor((ln(mu) + 0.6) / 1.1 * 20))) AS INT) AS bin, count(*) AS n, sum(weight) AS weight FROM book GROUP BY 1")
+@query(
+    ", e AS (SELECT quantile_cont(mu, 0.005) AS lo, quantile_cont(mu, 0.995) AS hi FROM book), v AS (SELECT weight, CASE WHEN lo > 0 AND hi / lo > 3 THEN (ln(greatest(mu, lo)) - ln(lo)) / (ln(hi) - ln(lo)) ELSE (mu - lo) / (hi - lo) END AS spot FROM book, e)"
+    " SELECT CAST(greatest(0, least(19, floor(spot * 20))) AS INT) AS bin, count(*) AS n, sum(weight) AS weight FROM v GROUP BY 1"
+)
 def pred_histogram(spark, d):
-    return review.histogram(book(spark, d), F.ln("mu"), -0.6, 0.5, 20, "weight")
+    b = book(spark, d)
+    return review.histogram(b, "mu", review.histogram_edges(b, "mu"), 20, "weight")
 
 
 @query(f"SELECT {', '.join(KEYS)}, {LEVEL} AS level, CAST(row_number() OVER (PARTITION BY {LEVEL} ORDER BY mu DESC, {', '.join(KEYS)}) AS INT) AS place FROM book QUALIFY row_number() OVER (PARTITION BY {LEVEL} ORDER BY mu DESC, {', '.join(KEYS)}) <= 3")

@@ -32,9 +32,9 @@ def rating_export(cells: DataFrame) -> DataFrame:
 
 
 def sql_bin(column: str, borders: list[float]) -> str:
-    """A CASE chain for the bin of a numeric column."""
+    """A CASE chain for the bin of a numeric column; NaN is missing, as null is."""
     arms = " ".join(f"WHEN CAST({column} AS FLOAT) <= CAST({b!r} AS FLOAT) THEN {k}" for k, b in enumerate(borders, 1))
-    return f"CASE WHEN {column} IS NULL THEN 0 {arms} ELSE {len(borders) + 1} END"
+    return f"CASE WHEN {column} IS NULL OR isnan(CAST({column} AS DOUBLE)) THEN 0 {arms} ELSE {len(borders) + 1} END"
 
 
 def sql_score(model: Model, constant: float, tables: Tables) -> str:
