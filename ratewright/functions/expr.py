@@ -117,3 +117,20 @@ def initial_score(loss: str, mean: Column) -> Column:
 
 def variance_function(loss: str, mu: Column, power: float = 1.5) -> Column:
     return {"squared_error": F.lit(1.0), "poisson": mu, "gamma": mu * mu, "tweedie": F.pow(mu, F.lit(power)), "binomial": mu * (1 - mu)}[loss]
+
+
+def soft_threshold(g: Column, l1: float) -> Column:
+    """``g`` moved ``l1`` towards 0, and not past it."""
+    return F.signum(g) * F.greatest(F.abs(g) - l1, F.lit(0.0)) if l1 > 0 else g
+
+
+def newton_step(g: Column, h: Column, l2: float, l1: float = 0.0, most: float | None = None) -> Column:
+    """-soft(g) / (h + l2), within ``most`` either way; 0 without curvature."""
+    step = F.when(h + l2 > 0, -soft_threshold(g, l1) / (h + l2)).otherwise(0.0)
+    return F.greatest(F.lit(-most), F.least(F.lit(most), step)) if most is not None else step
+
+
+def newton_gain(g: Column, h: Column, l2: float, l1: float = 0.0, most: float | None = None) -> Column:
+    """Twice the fall of the penalised quadratic loss by the step taken; soft(g)^2 / (h + l2) for a free step."""
+    w = newton_step(g, h, l2, l1, most)
+    return F.greatest(F.lit(0.0), -2 * soft_threshold(g, l1) * w - (h + l2) * w * w)

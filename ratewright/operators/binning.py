@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import missing
@@ -58,3 +58,26 @@ def collapse_rare(borders: list[float], counts: list[int], least: int) -> list[f
     if kept and sum(counts[len(borders) :]) + held < least:
         kept.pop()
     return kept
+
+
+def weighted_quantiles(df: DataFrame, value: str, weight: str, shares: list[float]) -> DataFrame:
+    """share, value: the least value whose cumulative weight reaches each share of the total.
+
+    Where it reaches the share exactly, the border between that value and the next one above: their midpoint as a
+    float, or the lower value where that rounds up to the higher.
+    """
+    rows = running(distinct_values(df, value, weight).where("w > 0"), [F.col("v").asc()], ["w"])
+    total = distinct_values(df, value, weight).agg(F.sum("w").alias("total"))  # one row
+    target = lambda q: F.lit(q) * F.col("total")
+    least = lambda k, met: F.min(F.when(met, F.col("v"))).alias(k)
+    ends = [c for k, q in enumerate(shares) for c in (least(f"a{k}", F.col("cum_w") >= target(q)), least(f"b{k}", F.col("cum_w") > target(q)))]
+    found = rows.join(F.broadcast(total)).agg(F.max("v").alias("top"), *ends)
+
+    def between(k: int) -> Column:
+        low = F.coalesce(F.col(f"a{k}"), F.col("top"))
+        high = F.coalesce(F.col(f"b{k}"), low)
+        mid = ((low.cast("double") + high.cast("double")) / 2).cast("float")
+        return F.when((mid >= high) & (low < high), low).otherwise(mid)
+
+    pairs = F.explode(F.array(*[F.struct(F.lit(q).alias("share"), between(k).alias("value")) for k, q in enumerate(shares)]))
+    return found.select(pairs.alias("p")).select("p.*")

@@ -68,3 +68,32 @@ def reanchor_log(df: DataFrame, y: str, mu: str, weight: str) -> DataFrame:
     """shift: what to add to a log-link intercept so that expected equals actual."""
     w = F.col(weight).cast("double")
     return df.agg(F.ln(F.sum(w * F.col(y)) / F.sum(w * F.col(mu))).alias("shift"))
+
+
+def ranked_contributions(df: DataFrame, keys: list[str], tables: dict[str, Column]) -> DataFrame:
+    """keys, effect, contribution, rank: 1 for the largest by absolute size within the row, ties by name.  No shuffle."""
+    pairs = F.array(*[F.struct((-F.abs(v.cast("double"))).alias("size"), F.lit(k).alias("effect"), v.cast("double").alias("contribution")) for k, v in tables.items()])
+    return df.select(*keys, F.posexplode(F.sort_array(pairs)).alias("at", "p")).select(*keys, "p.effect", "p.contribution", (F.col("at") + 1).alias("rank"))
+
+
+def joint_variance(df: DataFrame, tables: dict[str, Column], mass: Column) -> DataFrame:
+    """table_id, variance: weighted variance over the rows of each table's value, and of their sum (table_id ``*``).
+
+    Values are centred on their means first, in a second pass over the rows.
+    """
+    named = {**tables, "*": sum(tables.values(), F.lit(0.0))}
+    rows = df.select(mass.cast("double").alias("m"), *[v.cast("double").alias(f"v{k}") for k, v in enumerate(named.values())]).where("m > 0")
+    means = rows.agg(*[(F.sum(F.col("m") * F.col(f"v{k}")) / F.sum("m")).alias(f"a{k}") for k in range(len(named))])  # one row
+    spread = [(F.sum(F.col("m") * F.pow(F.col(f"v{k}") - F.col(f"a{k}"), 2)) / F.sum("m")).alias(f"s{k}") for k in range(len(named))]
+    found = rows.join(F.broadcast(means)).agg(*spread)
+    pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("table_id"), F.col(f"s{k}").alias("variance")) for k, name in enumerate(named)]))
+    return found.select(pairs.alias("p")).select("p.*")
+
+
+def feature_importances(variances: DataFrame, sep: str = ":") -> DataFrame:
+    """feature, importance: each table's share of the summed variance, split equally over the features in its name."""
+    own = variances.where("table_id <> '*'")
+    total = own.agg(F.sum("variance").alias("total"))  # one row
+    parts = F.split("table_id", sep)
+    shares = own.join(F.broadcast(total)).select(F.explode(parts).alias("feature"), (F.try_divide("variance", "total") / F.size(parts)).alias("share"))
+    return shares.groupBy("feature").agg(F.sum("share").alias("importance"))

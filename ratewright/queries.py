@@ -532,3 +532,6 @@ def top_rows_by_level(spark, d):
     over = Window.partitionBy("level").orderBy(F.desc("mu"), *KEYS)
     b = book(spark, d).withColumn("level", encode.level_of(F.col("brand")))
     return b.withColumn("place", F.row_number().over(over)).where("place <= 3").select(*KEYS, "level", "place")
+
+
+from . import report_queries  # noqa: E402, F401  registers the rest of the queries
