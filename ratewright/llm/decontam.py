@@ -120,6 +120,11 @@ def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     documents give repeated rows; empty tables give an empty result; other columns are ignored.  Items are
     searched in blocks of BLOCK_BYTES, one pass over the documents for each block.
     """
+    return _contained(docs.select(F.col("doc_id").cast("long"), "text"), items)
+
+
+def _contained(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """:func:`contained_items` with a doc_id of any type."""
     distinct = items.where("text is not null").groupBy("text").agg(F.min("item_id").cast("long").alias("item_id"))
     distinct = materialize(distinct.select("item_id", "text"), "items")
     total = distinct.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
@@ -134,20 +139,26 @@ def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def _search(docs: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(block)  # at most about BLOCK_BYTES
+    types = [pa.string() if dict(docs.dtypes)["doc_id"] == "string" else pa.int64(), *[pa.int64()] * 3]
 
     def run(batches):
         search = Searcher(shared.value)
         for batch in batches:
             rows = [(doc, *hit) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True) for hit in search.find(text.as_py())]
             columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "n_shingles", "n_shared"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "item_id", "n_shingles", "n_shared"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, n_shingles long, n_shared long")
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id long, n_shingles long, n_shared long")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that contain no item; all their columns.  Rows are judged by their own text."""
-    keyed = docs.select(F.xxhash64("text", "doc_id").alias("doc_id"), "text")
-    hits = materialize(contained_items(keyed, items).select(F.col("doc_id").alias("_hit")).distinct(), "hits")
-    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text", "doc_id").alias("_key"))
+    """The rows of ``docs`` that contain no item; all their columns.
+
+    Rows are judged by their text alone, so that repeated or null ids do not matter; hits are known by the text's
+    length and MD5, of which two texts do not agree by chance.
+    """
+    key = F.concat_ws("-", F.octet_length("text").cast("string"), F.md5("text"))
+    hits = materialize(_contained(docs.select(key.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("_hit")).distinct(), "hits")
+    rows = docs.select(F.struct("*").alias("row"), key.alias("_key"))
     return rows.join(small_side(hits), F.col("_key") == F.col("_hit"), "left_anti").select("row.*")
