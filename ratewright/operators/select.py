@@ -30,3 +30,49 @@ def chosen_prefix(deviances: Sequence[float], fraction: float = 1.0, tolerance:
         return best
     near = (1 + tolerance) * deviances[best]
     return next(i for i in range(len(deviances)) if any(deviances[0] - d >= fraction * fall for d in deviances[: i + 1]) and any(d <= near for d in deviances[: i + 1]))
+
+
+def _below(u: Support) -> list[Support]:
+    return [u - {f} for f in u]
+
+
+def _in_order(u: Support) -> list[str]:
+    return sorted(u)
+
+
+def ranked_sequence(variances: dict[Support, float], steps: int, prune_mains: bool = False) -> tuple[list[Support], list[Support], list[int]]:
+    """Main effects that always stay, the order in which the other tables enter, and the prefixes of it to try.
+
+    The greatest variance enters first, names break ties.  A table of three or more features waits until all tables
+    with one feature less are in, and never enters without them.  With ``prune_mains``, main effects have ranks too,
+    and enter before the first table that needs them.  The sizes are a geometric grid of about ``steps`` from 0 to all.
+    """
+    mains = sorted((u for u in variances if len(u) == 1), key=_in_order)
+    stay = [] if prune_mains else mains
+    ranked = sorted((u for u in variances if u not in stay), key=lambda u: (-variances[u], _in_order(u)))
+    inside, path, waiting = set(stay), [], []
+    for u in ranked:
+        waiting.append(u)
+        while ready := next((v for v in waiting if len(v) < 3 or all(b in inside for b in _below(v))), None):
+            waiting.remove(ready)
+            needed = [frozenset([f]) for f in _in_order(ready)] if len(ready) > 1 else []
+            new = [v for v in [*needed, ready] if v in variances and v not in inside]
+            inside.update(new)
+            path += new
+    grid = {round(len(path) ** (k / (max(steps, 2) - 1))) for k in range(max(steps, 2))} if path else set()
+    return stay, path, sorted({0, len(path)} | grid)
+
+
+def voted(votes: dict[Support, tuple[float, bool, bool]], supports: Iterable[Support], budget: int, prune_mains: bool = False) -> set[Support]:
+    """The tables to keep: mean gain, first and second verdict of each (``ensemble.fold_votes``).
+
+    Tables kept by the second verdict alone come in by falling mean gain while there are fewer than ``budget``.  A table
+    then goes if one of its parts of two or more features is gone; main effects of the others come back.
+    """
+    every = set(supports)
+    kept = {u for u in every if len(u) == 1 and not prune_mains} | {u for u, (_, first, _) in votes.items() if first}
+    extra = sorted((u for u, (_, first, second) in votes.items() if second and not first and u not in kept), key=lambda u: (-votes[u][0], _in_order(u)))
+    kept |= set(extra[: max(0, budget - len(kept))])
+    while lost := {u for u in kept if any(len(b) > 1 and b not in kept for b in _below(u))}:
+        kept -= lost
+    return {u for u in every if any(u <= k for k in kept)}

@@ -8,9 +8,8 @@ folder every few rounds.
 from __future__ import annotations
 
 import json
-from collections import defaultdict
 from dataclasses import asdict, dataclass, field
-from itertools import combinations, product
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +53,11 @@ class Settings:
     holdout: float = 0.0
     patience: int = 10
     strength: float = 20.0
+    #: The rate of round t is rate / (1 + decay * t).
+    decay: float = 0.0
+    #: Share of the features that a round may split on, drawn anew for each.
+    columns: float = 1.0
+    seed: int = 0
     monotone: dict[str, int] = field(default_factory=dict)
 
 
@@ -79,14 +83,21 @@ class Model:
             out.append(X.bin_index(column, borders))
         return out
 
+    def binned(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
+        """``df`` with the bin of each feature, and the names of these columns, which ``df`` does not have."""
+        stem = "_b"
+        while any(c.lower().startswith(stem) for c in df.columns):
+            stem = "_" + stem
+        names = [f"{stem}{k}" for k in range(len(self.features))]
+        return df.withColumns(dict(zip(names, self.bins(), strict=True))), names
+
     def score(self, df: DataFrame, offset: Column | None = None) -> DataFrame:
-        """``df`` with raw and prediction (a rate: without offset unless given)."""
+        """``df`` with raw and prediction (a rate: without offset unless given), in place of columns of these names."""
         select_features(df, self.features)
-        binned = df.withColumns({f"_b{k}": b for k, b in enumerate(self.bins())})
-        bins = [F.col(f"_b{k}") for k in range(len(self.features))]
-        raw = sum((t.value(bins) for t in self.trees), F.lit(self.f0))
+        binned, names = self.binned(df)
+        raw = sum((t.value([F.col(n) for n in names]) for t in self.trees), F.lit(self.f0))
         raw = raw if offset is None else raw + offset
-        scored = binned.withColumn("raw", raw).drop(*[f"_b{k}" for k in range(len(self.features))])
+        scored = binned.withColumn("raw", raw).drop(*names)
         return scored.withColumn("prediction", X.inverse_link(X.LINKS[self.settings.loss], F.col("raw")))
 
     def to_json(self) -> str:
@@ -108,7 +119,9 @@ def _grids(df: DataFrame, features: list[str], y: str, weight: str, exposure: st
             levels[name] = {r["member"]: r["encoding"] for r in encoded}
             unseen[name] = encode.base_rate(df, y, weight, exposure).first()[0]
             values = np.unique(np.array(list(levels[name].values()), np.float32))
-            found = ((values[1:].astype(float) + values[:-1]) / 2).tolist()[-(s.max_bin - 1) :]
+            # Ranks are dealt evenly to the bins, as in encode.rank_bins.
+            dealt = np.arange(len(values)) * min(s.max_bin, len(values)) // len(values)
+            found = ((values[1:].astype(float) + values[:-1]) / 2)[np.diff(dealt) > 0].tolist()
         else:
             few = binning.distinct_values(df, name).limit(s.max_bin + 1).count() <= s.max_bin
             rows = binning.midpoint_borders(df, name) if few else binning.quantile_borders(df, name, weight, s.max_bin)
@@ -117,45 +130,55 @@ def _grids(df: DataFrame, features: list[str], y: str, weight: str, exposure: st
     return borders, levels, unseen
 
 
-def _pick(hist: list, depth_axes: int, s: Settings, signs: dict[int, int]) -> Split | None:
+def _pick(hist: list, axes: list[int], s: Settings, signs: dict[int, int]) -> Split | None:
     """The best split over all leaves; ties go to the lowest axis, then bin, then missing high."""
-    sums: dict[tuple[int, int], dict[int, np.ndarray]] = defaultdict(dict)
-    for r in hist:
-        sums[r["axis"], r["leaf"]][r["bin"]] = np.array([r["g"], r["h"], r["n"]])
+    spots = {leaf: k for k, leaf in enumerate(sorted({r["leaf"] for r in hist}))}
     best, chosen = s.least_gain, None
-    for axis in range(depth_axes):
-        leaves = [v for (a, _), v in sorted(sums.items()) if a == axis]
-        top = max((max(v) for v in leaves), default=0)
-        # Bin 0 alone, low, is missing against present; it leaves the order of the others as it is.
-        for bin_le, miss in [(0, True), *product(range(1, top), (False, True))]:
-            gain, sound = 0.0, False
-            for v in leaves:
-                total = sum(v.values())
-                low = sum((x for k, x in v.items() if (k and k <= bin_le) or (not k and miss)), np.zeros(3))
-                high = total - low
-                if min(low[2], high[2]) >= s.least_rows:
-                    sound = True
-                    gain += low[0] ** 2 / (low[1] + s.l2) + high[0] ** 2 / (high[1] + s.l2) - total[0] ** 2 / (total[1] + s.l2)
-                    if bin_le and (sign := signs.get(axis)) and sign * (high[0] / (high[1] + s.l2) - low[0] / (low[1] + s.l2)) > 0:
-                        gain, sound = -np.inf, False
-            if sound and gain > best * (1 + 1e-12):
-                best, chosen = gain, Split(axis, bin_le, miss)
+    score = lambda x: x[..., 0] ** 2 / (x[..., 1] + s.l2)
+    slope = lambda x: x[..., 0] / (x[..., 1] + s.l2)
+    for axis in axes:
+        rows = [r for r in hist if r["axis"] == axis]
+        top = max((r["bin"] for r in rows), default=0)
+        sums = np.zeros((len(spots), top + 1, 3))
+        for r in rows:
+            sums[spots[r["leaf"]], r["bin"]] += (r["g"], r["h"], r["n"])
+        total = sums.sum(axis=1)[:, None, None]
+        shown = sums.copy()
+        shown[:, 0] = 0.0
+        upto = shown.cumsum(axis=1)[:, : max(top, 1)]
+        # Leaf, bin_le, missing low or not, sums; bin_le 0 with missing low is missing against present.
+        low = np.stack([upto, upto + sums[:, :1]], axis=2)
+        high = total - low
+        sound = np.minimum(low[..., 2], high[..., 2]) >= s.least_rows
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gains = np.where(sound, score(low) + score(high) - score(total), 0.0).sum(axis=0)
+            against = sound & (signs.get(axis, 0) * (slope(high) - slope(low)) > 0)
+        usable = sound.any(axis=0)
+        usable[1:] &= ~against[:, 1:].any(axis=0)
+        usable[0, 0] = False
+        for bin_le, miss in np.argwhere(usable):
+            if gains[bin_le, miss] > best * (1 + 1e-12):
+                best, chosen = gains[bin_le, miss], Split(axis, int(bin_le), bool(miss))
     return chosen
 
 
-def fit(df: DataFrame, features: list[str], y: str, settings: Settings | None = None, weight: str | None = None, exposure: str | None = None, key: str | None = None) -> Model:
+def fit(df: DataFrame, features: list[str], y: str, settings: Settings | None = None, weight: str | None = None, exposure: str | None = None, key: str | None = None, held: Column | None = None, grids: tuple | None = None) -> Model:
     """Fit an ensemble to a book of rows.
 
-    With ``settings.holdout``, rows with the least hashes of ``key`` are held out, and fitting stops after
-    ``patience`` rounds without a better deviance there; the model keeps the best round.
+    With ``settings.holdout``, rows with the least hashes of ``key`` are held out (or those where ``held`` is true),
+    and fitting stops after ``patience`` rounds without a better deviance there; the model keeps the best round.
+    ``grids`` are the borders and encodings of another model of the same features.
     """
     s = settings or Settings()
     validate(df, y, weight, exposure, positive=s.loss == "gamma")
     w, e = F.col(weight).cast("double") if weight else F.lit(1.0), F.col(exposure).cast("double") if exposure else F.lit(1.0)
-    out = (F.pmod(F.xxhash64(F.col(key)), F.lit(10_000)) < int(s.holdout * 10_000)) if key and s.holdout else F.lit(False)
+    out = held
+    if out is None:
+        out = (F.pmod(F.xxhash64(F.col(key)), F.lit(10_000)) < int(s.holdout * 10_000)) if key and s.holdout else F.lit(False)
+    watched = held is not None or bool(s.holdout and key)
     rows = df.select(*features, F.col(y).cast("double").alias("_y"), w.alias("_w"), e.alias("_e"), out.alias("_out"))
     train = rows.where(~F.col("_out"))
-    borders, levels, unseen = _grids(train, features, "_y", "_w", "_e", s)
+    borders, levels, unseen = grids or _grids(train, features, "_y", "_w", "_e", s)
     log = X.LINKS[s.loss] == "log"
     # With exposure e, the constant that zeroes the gradient: sum(w y e^(1-p)) / sum(w e^(2-p)).
     p = {"gamma": 2.0, "tweedie": s.power}.get(s.loss, 1.0)
@@ -172,21 +195,23 @@ def fit(df: DataFrame, features: list[str], y: str, settings: Settings | None =
     best, since, base = np.inf, 0, binned
     for step in range(s.rounds):
         fitted, splits = binned.where(~F.col("_out")), []
+        drawn = np.random.default_rng([s.seed, step]).permutation(len(bins))[: max(1, round(s.columns * len(bins)))]
+        axes = sorted(drawn.tolist())
         for _ in range(s.depth):
             leaf = X.leaf_index([(bins[x.axis], x.bin_le, x.missing_low) for x in splits])
-            split = _pick(training.gradient_histogram(fitted, leaf, dict(enumerate(bins)), g, h, F.col("_w")).collect(), len(bins), s, signs)
+            split = _pick(training.gradient_histogram(fitted, leaf, {a: bins[a] for a in axes}, g, h, F.col("_w")).collect(), axes, s, signs)
             if split is None:
                 break
             splits.append(split)
         if not splits:
             break
         leaf = X.leaf_index([(bins[x.axis], x.bin_le, x.missing_low) for x in splits])
-        values = {r["leaf"]: r["value"] for r in training.leaf_values(fitted, leaf, g, h, F.col("_w"), s.l2, s.rate).collect()}
+        values = {r["leaf"]: r["value"] for r in training.leaf_values(fitted, leaf, g, h, F.col("_w"), s.l2, s.rate / (1 + s.decay * step)).collect()}
         model.trees.append(Tree(splits, [float(values.get(k, 0.0)) for k in range(1 << len(splits))]))
         binned = binned.withColumn("_raw", F.col("_raw") + model.trees[-1].value(bins))
         if step % 10 == 9:
             binned = _cut(binned)
-        if s.holdout and key:
+        if watched:
             mu = X.inverse_link(X.LINKS[s.loss], F.col("_raw"))
             now = binned.where("_out").agg(F.sum(F.col("_w") * X.unit_deviance(deviance, F.col("_y"), mu, s.power)) / F.sum("_w")).first()[0]
             model.history.append(now)
@@ -199,6 +224,27 @@ def fit(df: DataFrame, features: list[str], y: str, settings: Settings | None =
     return model
 
 
+def in_bag(key: str, bag: int, share: float, seed: int = 0) -> Column:
+    """Whether a bag holds the rows of a key: a ``share`` of the keys, other ones in each bag."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.lit(bag), F.col(key)), F.lit(1_000_000)) < round(share * 1_000_000)
+
+
+def fit_bags(df: DataFrame, features: list[str], y: str, settings: Settings | None = None, weight: str | None = None, exposure: str | None = None, key: str = "id", bags: int = 8, share: float = 0.8) -> tuple[Model, list[Model]]:
+    """The mean of ``bags`` models and the models themselves, each fitted to a share of the keys and stopped on the others.
+
+    All take the grids and encodings of the whole book, so that the mean of their trees is the mean of their scores.
+    Rows with the same key are in the same bags.
+    """
+    s = settings or Settings()
+    w, e = F.col(weight).cast("double") if weight else F.lit(1.0), F.col(exposure).cast("double") if exposure else F.lit(1.0)
+    whole = df.select(*features, F.col(y).cast("double").alias("_y"), w.alias("_w"), e.alias("_e"))
+    validate(df, y, weight, exposure, positive=s.loss == "gamma")
+    grids = _grids(whole, features, "_y", "_w", "_e", s)
+    models = [fit(df, features, y, s, weight, exposure, held=~in_bag(key, b, share, s.seed), grids=grids) for b in range(bags)]
+    trees = [Tree(t.splits, [v / bags for v in t.leaves]) for m in models for t in m.trees]
+    return Model(s, features, *grids, sum(m.f0 for m in models) / bags, trees), models
+
+
 def _cut(df: DataFrame) -> DataFrame:
     """``df`` read back from the folder of spark.checkpoint.dir."""
     return written(df, new_path(df.sparkSession, "round"))
@@ -263,23 +309,27 @@ def table_frame(spark: SparkSession, model: Model, tables: Tables) -> DataFrame:
     return spark.createDataFrame(rows, "table_id string, features array<string>, cells array<int>, value double")
 
 
+def _cell_value(table: np.ndarray, bins: list[Column]) -> Column:
+    at: Column = F.lit(0)
+    for b, size in zip(bins, table.shape, strict=True):
+        at = at * size + b
+    return F.element_at(F.array(*[F.lit(float(v)) for v in table.ravel()]), at + 1)
+
+
 def score_tables(df: DataFrame, model: Model, constant: float, tables: Tables) -> DataFrame:
     """``df`` with raw and prediction from the tables alone."""
-    binned = df.withColumns({f"_b{k}": b for k, b in enumerate(model.bins())})
+    binned, names = model.binned(df)
     raw = F.lit(model.f0 + constant)
     for axes, t in tables.items():
-        at: Column = F.lit(0)
-        for a, size in zip(axes, t.shape, strict=True):
-            at = at * size + F.col(f"_b{a}")
-        raw = raw + F.element_at(F.array(*[F.lit(float(v)) for v in t.ravel()]), at + 1)
-    scored = binned.withColumn("raw", raw).drop(*[f"_b{k}" for k in range(len(model.features))])
+        raw = raw + _cell_value(t, [F.col(names[a]) for a in axes])
+    scored = binned.withColumn("raw", raw).drop(*names)
     return scored.withColumn("prediction", X.inverse_link(X.LINKS[model.settings.loss], F.col("raw")))
 
 
 def check_exact(df: DataFrame, model: Model, constant: float, tables: Tables, tolerance: float = 1e-9) -> float:
     """The largest gap between model and tables over the rows; an error if it exceeds the tolerance."""
-    a = model.score(df).withColumnRenamed("raw", "_model").drop("prediction")
-    gap = score_tables(a, model, constant, tables).agg(F.max(F.abs(F.col("raw") - F.col("_model")))).first()[0] or 0.0
+    a = model.score(df).select(*model.features, F.col("raw").alias("model:raw"))
+    gap = score_tables(a, model, constant, tables).agg(F.max(F.abs(F.col("raw") - F.col("`model:raw`")))).first()[0] or 0.0
     if gap > tolerance:
         raise ExactnessError(f"tables differ from the model by {gap}")
     return gap
@@ -331,16 +381,10 @@ def prune_tables(df: DataFrame, model: Model, constant: float, tables: Tables, y
     """Tables without those whose removal raises the mean deviance by less than ``least_gain``, one pass for all."""
     deviance = "binomial" if model.settings.loss == "logistic" else model.settings.loss
     link, w = X.LINKS[model.settings.loss], F.col(weight).cast("double")
-    scored = score_tables(df, model, constant, tables).withColumns({f"_b{k}": b for k, b in enumerate(model.bins())})
+    scored, names = model.binned(score_tables(df, model, constant, tables))
 
     def cost(raw: Column) -> Column:
         return F.sum(w * X.unit_deviance(deviance, F.col(y), X.inverse_link(link, raw), model.settings.power)) / F.sum(w)
 
-    def part(axes, t) -> Column:
-        at: Column = F.lit(0)
-        for a, size in zip(axes, t.shape, strict=True):
-            at = at * size + F.col(f"_b{a}")
-        return F.element_at(F.array(*[F.lit(float(v)) for v in t.ravel()]), at + 1)
-
-    costs = scored.agg(cost(F.col("raw")), *[cost(F.col("raw") - part(k, t)) for k, t in tables.items()]).first()
+    costs = scored.agg(cost(F.col("raw")), *[cost(F.col("raw") - _cell_value(t, [F.col(names[a]) for a in k])) for k, t in tables.items()]).first()
     return {k: t for (k, t), c in zip(tables.items(), costs[1:], strict=True) if c - costs[0] >= least_gain}
