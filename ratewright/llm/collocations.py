@@ -4,7 +4,8 @@ Texts are dealt into shards of one language and a few megabytes.  In a shard eac
 its positions (only blocks with a bit are held); a phrase's bitmap, shifted by one and met with a word's by AND, is that
 of the phrase with the word after it, and its popcount is the number of occurrences.  Phrases are extended depth first, a batch of first
 words at a time; pieces lie one position apart, so no shift leads from one to the next.  Popcounts are summed over shards.
-A shard extends only by word pairs that are frequent in all shards together; these come to it by a join, not a broadcast.
+A shard extends only by word pairs that are frequent in all shards together; it knows them by a Bloom filter of a fixed size,
+which lets all of them pass, so that counts stay exact and only the number of rows to sum depends on it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from .ranking import ranked
 from .store import materialize, small_side
 
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 4 << 20
 #: All open shards of a task together.
 OPEN_BYTES = 32 << 20
 LEAST = 100
@@ -29,6 +31,11 @@ MOST_WORDS = 5
 #: Bits of a bitmap's block, and entries of a batch of the depth-first search.
 BLOCK = 8
 BATCH = 1 << 16
+#: The filter of frequent pairs: its size, whatever the data, and the bits of a pair.
+FILTER_BITS = 1 << 26
+FILTER_HASHES = 4
+#: A vocabulary within both limits goes to all tasks; a longer one is joined.
+SMALL_WORDS, SMALL_BYTES = 200_000, 8 << 20
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _BREAK = re.compile(rb"[.,;:!?\n-\r]")
@@ -81,7 +88,8 @@ def _sharder(shard_bytes: int):
                     yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
 
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
+                text = text.as_py()
                 held.setdefault(lang, []).append(text)
                 size[lang] = size.get(lang, 0) + len(text) + 1
                 if size[lang] >= shard_bytes:
@@ -152,38 +160,75 @@ def _kept(found, bitmap, keep):
 
 
 def _pair_rows(batches):
-    """Pairs of frequent words in each shard: shard, k1, n."""
+    """Pairs of frequent words in each shard: k1, n."""
     for batch in batches:
-        for shard, stream in zip(batch.column("shard").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+        for stream in batch.column("ids").to_pylist():
             maps = Bitmaps(np.frombuffer(stream, np.int32))
             for phrase, block, bits in maps.batches():
                 (parent, word, count), _ = maps.extend(phrase, block, bits)
                 key = (maps.names[parent].astype(np.int64) << 32) | maps.names[word].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), shard)), pa.array(key), pa.array(count)], names=["shard", "k1", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(count)], names=["k1", "n"])
 
 
-def _phrase_rows(batches):
-    """Phrases of three to five words whose pairs are all frequent: k1, k2, k3, n."""
+def _places(keys: np.ndarray):
+    """The bits of keys in the filter: for each hash, one place of each key."""
+    for k in range(1, FILTER_HASHES + 1):
+        z = keys.astype(np.uint64) + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        yield (z ^ (z >> np.uint64(31))) & np.uint64(FILTER_BITS - 1)
+
+
+def _filter_rows(batches):
+    """The filter of a partition's keys, as the 64-bit words of it that have a bit."""
+    words = np.zeros(FILTER_BITS // 64, np.uint64)
     for batch in batches:
-        for stream, pairs in zip(batch.column("ids").to_pylist(), batch.column("pairs"), strict=True):
-            maps, pairs = Bitmaps(np.frombuffer(stream, np.int32)), np.sort(pairs.values.to_numpy())
-            known = np.append(pairs, np.iinfo(np.int64).max)
-            for phrase, block, bits in maps.batches():
+        for place in _places(batch.column("k1").to_numpy()):
+            np.bitwise_or.at(words, place >> np.uint64(6), np.uint64(1) << (place & np.uint64(63)))
+    at = np.flatnonzero(words)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at].view(np.int64))], names=["at", "bits"])
+
+
+def _pair_filter(pairs: DataFrame) -> np.ndarray:
+    """A Bloom filter of the keys k1: FILTER_BITS / 8 bytes on the driver, however many keys there are."""
+    found = pairs.select("k1").mapInArrow(_filter_rows, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(FILTER_BITS // 64, np.uint64)
+    words[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return words
+
+
+def _among(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether keys may be in the filter."""
+    some = np.ones(len(keys), bool)
+    for place in _places(keys):
+        some &= (words[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return some
+
+
+def _extender(frequent):
+    """A function over encoded shards: the phrases of three to five words whose pairs pass the (broadcast) filter, as k1, k2, k3, n."""
+
+    def run(batches):
+        for batch in batches:
+            for stream in batch.column("ids").to_pylist():
+                maps = Bitmaps(np.frombuffer(stream, np.int32))
                 one = maps.names.astype(np.int64)
-                keys = [one << 32, np.zeros(maps.n, np.int64), np.zeros(maps.n, np.int64)]  # of each phrase, packed
-                last = one
-                bitmap = (phrase, block, bits)
-                for depth in range(2, MOST_WORDS + 1):
-                    found, bitmap = maps.extend(*bitmap)
-                    pair = (last[found[0]] << 32) | one[found[1]]
-                    (parent, word, count), bitmap = _kept(found, bitmap, known[np.searchsorted(known, pair)] == pair)
-                    if not len(parent):
-                        break
-                    last = one[word]
-                    keys = [k[parent] for k in keys]
-                    keys[(depth - 1) // 2] |= last << 32 if depth % 2 and depth < 5 else last
-                    if depth > 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys, count)], names=["k1", "k2", "k3", "n"])
+                for bitmap in maps.batches():
+                    keys = [one << 32, np.zeros(maps.n, np.int64), np.zeros(maps.n, np.int64)]  # of each phrase, packed
+                    last = one
+                    for depth in range(2, MOST_WORDS + 1):
+                        found, bitmap = maps.extend(*bitmap)
+                        pair = (last[found[0]] << 32) | one[found[1]]
+                        (parent, word, count), bitmap = _kept(found, bitmap, _among(frequent.value, pair))
+                        if not len(parent):
+                            break
+                        last = one[word]
+                        keys = [k[parent] for k in keys]
+                        keys[(depth - 1) // 2] |= last << 32 if depth % 2 and depth < 5 else last
+                        if depth > 2:
+                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys, count)], names=["k1", "k2", "k3", "n"])
+
+    return run
 
 
 def _encode_rows(batches):
@@ -194,7 +239,39 @@ def _encode_rows(batches):
             table = np.zeros(n + 1, np.int32)  # the last place is that of -1
             table[codes.values.to_numpy()] = numbers.values.to_numpy()
             out.append(table[np.frombuffer(stream, np.int32)].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(out, pa.binary())], names=["shard", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
+
+
+def _coder(vocabulary):
+    """A function over shards: their streams with the numbers that a (broadcast) vocabulary, words and numbers by language, gives."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for lang, words, stream in zip(batch.column("lang").to_pylist(), batch.column("words"), batch.column("stream").to_pylist(), strict=True):
+                known, numbers = vocabulary.value.get(lang, (pa.array([], pa.string()), np.zeros(0, np.int32)))
+                found = pc.index_in(words.values, value_set=known).fill_null(len(known)).to_numpy()
+                table = np.append(np.append(numbers, 0)[found], 0).astype(np.int32)  # the last place is that of -1
+                out.append(table[np.frombuffer(stream, np.int32)].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
+
+    return run
+
+
+def _encoded(shards: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """ids: each shard's positions as numbers of frequent words, 0 for all else; where the vocabulary is small, without a shuffle."""
+    known = vocabulary.select("lang", "word", "wid")
+    size = vocabulary.agg(F.count("*"), F.sum(F.octet_length("word"))).first()
+    if size[0] <= SMALL_WORDS and (size[1] or 0) <= SMALL_BYTES:
+        table = known.toArrow()
+        langs = table.column("lang").unique().to_pylist()
+        mine = lambda lang: table.filter(pc.equal(table.column("lang"), lang))
+        held = {lang: (mine(lang).column("word").combine_chunks().cast(pa.string()), mine(lang).column("wid").to_numpy().astype(np.int32)) for lang in langs}
+        return shards.select("lang", "words", "stream").mapInArrow(_coder(shards.sparkSession.sparkContext.broadcast(held)), "ids binary")
+    used = shards.select("shard", "lang", F.posexplode("words").alias("code", "word")).join(known, ["lang", "word"])
+    tables = used.groupBy("shard").agg(F.collect_list(F.struct("code", "wid")).alias("t"))
+    tables = tables.select("shard", F.col("t.code").alias("codes"), F.col("t.wid").cast("array<int>").alias("numbers"))
+    return shards.select("shard", F.size("words").alias("n_words"), "stream").join(tables, "shard").mapInArrow(_encode_rows, "ids binary")
 
 
 def _packed(words: list[Column]) -> list[Column]:
@@ -223,16 +300,12 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, shard_bytes: int = SHARD_
     frequent = materialize(counted.where(F.col("f") >= least).withColumn("every", F.lit(0)), "frequent")
     vocabulary = materialize(ranked(frequent, "every", ["lang", "word"], "place").select("lang", "word", "f", (F.col("place") + 1).cast("long").alias("wid")), "vocabulary")
 
-    used = shards.select("shard", "lang", F.posexplode("words").alias("code", "word")).join(vocabulary.select("lang", "word", "wid"), ["lang", "word"])
-    tables = used.groupBy("shard").agg(F.collect_list(F.struct("code", "wid")).alias("t"))
-    tables = tables.select("shard", F.col("t.code").alias("codes"), F.col("t.wid").cast("array<int>").alias("numbers"))
-    joined = shards.select("shard", F.size("words").alias("n_words"), "stream").join(tables, "shard")
-    encoded = materialize(joined.mapInArrow(_encode_rows, "shard long, ids binary"), "encoded")
+    encoded = materialize(_encoded(shards, vocabulary), "encoded")
 
-    pairs = materialize(encoded.mapInArrow(_pair_rows, "shard long, k1 long, n long"), "pairs")
-    two = materialize(pairs.groupBy("k1").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "two")
-    mine = pairs.join(two.select("k1"), "k1", "left_semi").groupBy("shard").agg(F.collect_list("k1").alias("pairs"))
-    longer = encoded.join(mine, "shard").select("ids", "pairs").mapInArrow(_phrase_rows, "k1 long, k2 long, k3 long, n long")
+    pairs = encoded.mapInArrow(_pair_rows, "k1 long, n long").groupBy("k1").agg(F.sum("n").alias("f"))
+    two = materialize(pairs.where(F.col("f") >= least), "two")
+    frequent = shards.sparkSession.sparkContext.broadcast(_pair_filter(two))
+    longer = encoded.mapInArrow(_extender(frequent), "k1 long, k2 long, k3 long, n long")
     longer = longer.groupBy("k1", "k2", "k3").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     none = F.lit(0).cast("long")
     ones = vocabulary.select(F.shiftleft("wid", 32).alias("k1"), none.alias("k2"), none.alias("k3"), "f")

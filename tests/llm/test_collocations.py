@@ -66,6 +66,11 @@ def test_equals_brute_force(spark, planted, least, top, shard):
     assert got(df, least, top, shard_bytes=shard) == want and any(p.count(" ") == 4 for _, _, p, *_ in want)
 
 
+def test_a_vocabulary_too_long_to_send_is_joined(spark, monkeypatch, planted):
+    monkeypatch.setattr(collocations, "SMALL_WORDS", 0)
+    assert got(spark.createDataFrame(planted, "lang string, text string").repartition(3), 5, 40, shard_bytes=500) == brute(planted, 5, 40)
+
+
 def test_documents(documents):
     rows = [(r.lang, r.text) for r in documents.collect()]
     assert got(documents, 20, 300) == brute(rows, 20, 300)
@@ -84,6 +89,18 @@ def test_bitmaps_extend_a_word():
     assert counts == Counter(tuple(map(int, r[i : i + k])) for r in runs for k in (2, 3) for i in range(len(r) - k + 1))
 
 
+def test_the_filter_passes_all_its_keys(spark):
+    keys = np.random.default_rng(2).integers(1, 1 << 62, 5000)
+    words = collocations._pair_filter(spark.createDataFrame([(int(k),) for k in keys], "k1 long").repartition(3))
+    assert collocations._among(words, keys).all() and collocations._among(words, keys + 1).mean() < 0.01
+    assert not collocations._pair_filter(spark.createDataFrame([], "k1 long")).any()
+
+
+def test_a_full_filter_changes_no_count(spark, monkeypatch, planted):
+    monkeypatch.setattr(collocations, "_pair_filter", lambda pairs: np.full(collocations.FILTER_BITS // 64, np.uint64(0xFFFFFFFFFFFFFFFF)))
+    assert got(spark.createDataFrame(planted, "lang string, text string"), 5, 40) == brute(planted, 5, 40)
+
+
 def test_edges(spark, edges, nothing):
     rows = [(a, t) for _, t, a, _ in edge_rows()]
     assert got(edges, 2, 50) == brute(rows, 2, 50)
