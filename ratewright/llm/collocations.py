@@ -4,8 +4,8 @@ Texts are dealt into shards of one language and a few megabytes.  In a shard eac
 its positions (only blocks with a bit are held); a phrase's bitmap, shifted by one and met with a word's by AND, is that
 of the phrase with the word after it, and its popcount is the number of occurrences.  Phrases are extended depth first, a batch of first
 words at a time; pieces lie one position apart, so no shift leads from one to the next.  Popcounts are summed over shards.
-A shard extends only by word pairs that are frequent in all shards together; it knows them by a Bloom filter of a fixed size,
-which lets all of them pass, so that counts stay exact and only the number of rows to sum depends on it.
+A shard extends only by pairs, and then by three words in a row, that are frequent in all shards together; it knows them by Bloom filters
+of a fixed size, which let all of these pass, so that counts stay exact and only the number of rows to sum depends on them.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ MOST_WORDS = 5
 #: Bits of a bitmap's block, and entries of a batch of the depth-first search.
 BLOCK = 8
 BATCH = 1 << 16
-#: The filter of frequent pairs: its size, whatever the data, and the bits of a pair.
+#: A filter of frequent phrases: its size, whatever the data, and the bits of a phrase.
 FILTER_BITS = 1 << 26
 FILTER_HASHES = 4
 #: A vocabulary within both limits goes to all tasks; a longer one is joined.
@@ -179,19 +179,24 @@ def _places(keys: np.ndarray):
         yield (z ^ (z >> np.uint64(31))) & np.uint64(FILTER_BITS - 1)
 
 
+def _filter_key(pair: np.ndarray, third: np.ndarray) -> np.ndarray:
+    """What stands for a pair (third word 0) or three words in a filter; unlike ones that agree only pass it."""
+    return pair.astype(np.uint64) + third.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+
+
 def _filter_rows(batches):
     """The filter of a partition's keys, as the 64-bit words of it that have a bit."""
     words = np.zeros(FILTER_BITS // 64, np.uint64)
     for batch in batches:
-        for place in _places(batch.column("k1").to_numpy()):
+        for place in _places(_filter_key(batch.column("k1").to_numpy(), batch.column("k2").to_numpy() >> 32)):
             np.bitwise_or.at(words, place >> np.uint64(6), np.uint64(1) << (place & np.uint64(63)))
     at = np.flatnonzero(words)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at].view(np.int64))], names=["at", "bits"])
 
 
-def _pair_filter(pairs: DataFrame) -> np.ndarray:
-    """A Bloom filter of the keys k1: FILTER_BITS / 8 bytes on the driver, however many keys there are."""
-    found = pairs.select("k1").mapInArrow(_filter_rows, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+def _filter(phrases: DataFrame) -> np.ndarray:
+    """A Bloom filter of phrases (k1, k2) of two or three words: FILTER_BITS / 8 bytes on the driver, however many there are."""
+    found = phrases.select("k1", "k2").mapInArrow(_filter_rows, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros(FILTER_BITS // 64, np.uint64)
     words[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return words
@@ -205,8 +210,11 @@ def _among(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return some
 
 
-def _extender(frequent):
-    """A function over encoded shards: the phrases of three to five words whose pairs pass the (broadcast) filter, as k1, k2, k3, n."""
+def _extender(pairs, triples=None):
+    """A function over encoded shards: k1, k2, k3, n of phrases whose pairs pass a (broadcast) filter.
+
+    Without ``triples`` those of three words, with it those of four and five, of which all three words in a row pass that one.
+    """
 
     def run(batches):
         for batch in batches:
@@ -215,17 +223,20 @@ def _extender(frequent):
                 one = maps.names.astype(np.int64)
                 for bitmap in maps.batches():
                     keys = [one << 32, np.zeros(maps.n, np.int64), np.zeros(maps.n, np.int64)]  # of each phrase, packed
-                    last = one
-                    for depth in range(2, MOST_WORDS + 1):
-                        found, bitmap = maps.extend(*bitmap)
-                        pair = (last[found[0]] << 32) | one[found[1]]
-                        (parent, word, count), bitmap = _kept(found, bitmap, _among(frequent.value, pair))
+                    last, pair = one, None
+                    for depth in range(2, (3 if triples is None else MOST_WORDS) + 1):
+                        (parent, word, count), bitmap = maps.extend(*bitmap)
+                        new = (last[parent] << 32) | one[word]
+                        keep = _among(pairs.value, _filter_key(new, np.zeros(len(new), np.int64)))
+                        if triples is not None and depth > 2:
+                            keep &= _among(triples.value, _filter_key(pair[parent], one[word]))
+                        (parent, word, count), bitmap = _kept((parent, word, count), bitmap, keep)
                         if not len(parent):
                             break
-                        last = one[word]
+                        last, pair = one[word], new[keep]
                         keys = [k[parent] for k in keys]
                         keys[(depth - 1) // 2] |= last << 32 if depth % 2 and depth < 5 else last
-                        if depth > 2:
+                        if depth > (2 if triples is None else 3):
                             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys, count)], names=["k1", "k2", "k3", "n"])
 
     return run
@@ -304,10 +315,12 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, shard_bytes: int = SHARD_
 
     pairs = encoded.mapInArrow(_pair_rows, "k1 long, n long").groupBy("k1").agg(F.sum("n").alias("f"))
     two = materialize(pairs.where(F.col("f") >= least), "two")
-    frequent = shards.sparkSession.sparkContext.broadcast(_pair_filter(two))
-    longer = encoded.mapInArrow(_extender(frequent), "k1 long, k2 long, k3 long, n long")
-    longer = longer.groupBy("k1", "k2", "k3").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     none = F.lit(0).cast("long")
+    send = shards.sparkSession.sparkContext.broadcast
+    extended = lambda *filters: encoded.mapInArrow(_extender(*filters), "k1 long, k2 long, k3 long, n long").groupBy("k1", "k2", "k3").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    in_pairs = send(_filter(two.withColumn("k2", none)))
+    three = materialize(extended(in_pairs), "three")
+    longer = three.unionByName(extended(in_pairs, send(_filter(three))))
     ones = vocabulary.select(F.shiftleft("wid", 32).alias("k1"), none.alias("k2"), none.alias("k3"), "f")
     every = ones.unionByName(two.select("k1", none.alias("k2"), none.alias("k3"), "f")).unionByName(longer)
     size = sum((F.when(w != 0, 1).otherwise(0) for w in _unpacked()), F.lit(0))

@@ -90,14 +90,16 @@ def test_bitmaps_extend_a_word():
 
 
 def test_the_filter_passes_all_its_keys(spark):
-    keys = np.random.default_rng(2).integers(1, 1 << 62, 5000)
-    words = collocations._pair_filter(spark.createDataFrame([(int(k),) for k in keys], "k1 long").repartition(3))
-    assert collocations._among(words, keys).all() and collocations._among(words, keys + 1).mean() < 0.01
-    assert not collocations._pair_filter(spark.createDataFrame([], "k1 long")).any()
+    rng = np.random.default_rng(2)
+    pair, third = rng.integers(1, 1 << 62, 5000), rng.integers(0, 1 << 31, 5000)
+    words = collocations._filter(spark.createDataFrame([(int(a), int(b) << 32) for a, b in zip(pair, third, strict=True)], "k1 long, k2 long").repartition(3))
+    key = collocations._filter_key
+    assert collocations._among(words, key(pair, third)).all() and collocations._among(words, key(pair, third + 1)).mean() < 0.01
+    assert not collocations._filter(spark.createDataFrame([], "k1 long, k2 long")).any()
 
 
 def test_a_full_filter_changes_no_count(spark, monkeypatch, planted):
-    monkeypatch.setattr(collocations, "_pair_filter", lambda pairs: np.full(collocations.FILTER_BITS // 64, np.uint64(0xFFFFFFFFFFFFFFFF)))
+    monkeypatch.setattr(collocations, "_filter", lambda phrases: np.full(collocations.FILTER_BITS // 64, np.uint64(0xFFFFFFFFFFFFFFFF)))
     assert got(spark.createDataFrame(planted, "lang string, text string"), 5, 40) == brute(planted, 5, 40)
 
 
