@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import missing
+from ..functions.expr import bin_index, missing
+from ..sources.shared import delete, new_path, written
 from .ordered import running
 
 
@@ -47,6 +51,65 @@ def quantile_borders(df: DataFrame, value: str, weight: str, max_bin: int) -> Da
     return placed.where(hit).select(F.col("v").alias("border"))
 
 
+def separating_border(low: float, high: float) -> float:
+    """The midpoint of two neighbouring values as a float, or the lower one where it rounds up to the higher."""
+    mid = np.float32((float(np.float32(low)) + float(np.float32(high))) / 2)
+    return float(np.float32(low) if mid >= np.float32(high) else mid)
+
+
+def refill_borders(df: DataFrame, value: str, weight: str, borders: list[float], max_bin: int) -> list[float]:
+    """``borders`` and more, up to ``max_bin`` - 1, where heavy values have left some unused.
+
+    Each time, of the intervals with two values or more, the heaviest (of equal ones the lowest) is parted where its weight is
+    halved: after the first value up to which half of it lies, but before its last.  Running sums of the distinct values are
+    written once; each job finds the places for all intervals that are new, and hands a row for each to the driver, where a heap
+    takes the heaviest until it meets one without a place.
+    """
+    wanted = max_bin - 1 - len(borders)
+    if wanted <= 0:
+        return list(borders)
+    spark = df.sparkSession
+    path = new_path(spark, "values")
+    sums = running(distinct_values(df, value, weight), [F.col("v").asc()], ["w"]).select("v", "w", "rank", "cum_w")
+    rows = written(sums, path)
+    try:
+        out = sorted(float(np.float32(b)) for b in borders)
+        inner = F.lit(0) if not out else bin_index(F.col("v"), out) - 1
+        found = rows.groupBy(inner.alias("k")).agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.min(F.col("cum_w") - F.col("w")).alias("start"), F.max("cum_w").alias("end")).collect()
+        heap = [(-(r["end"] - r["start"]), r["lo"], r["hi"], r["start"], r["end"]) for r in found if r["hi"] > r["lo"]]
+        heapq.heapify(heap)
+        places: dict[int, tuple[int, float, float, float]] = {}
+        while heap and wanted:
+            if heap[0][1] not in places:
+                places |= _halves(rows, [x for x in heap if x[1] not in places])
+            _, lo, hi, start, end = heapq.heappop(heap)
+            rank, low, high, cut = places.pop(lo)
+            out.append(separating_border(low, high))
+            wanted -= 1
+            for a, b, x, y in ((lo, rank, start, cut), (rank + 1, hi, cut, end)):
+                if b > a:
+                    heapq.heappush(heap, (-(y - x), a, b, x, y))
+        return sorted(set(out))
+    finally:
+        delete(spark, path)
+
+
+def _halves(rows: DataFrame, intervals: list[tuple]) -> dict[int, tuple[int, float, float, float]]:
+    """For each interval, by its first rank: rank and value after which it is parted, the next value, and the sum up to there."""
+    spark = rows.sparkSession
+    found = spark.createDataFrame([(lo, hi, start + (end - start) * 0.5) for _, lo, hi, start, end in intervals], "lo long, hi long, half double")
+    # At most as many as there are bins; a value lies in one of them at most.
+    ordered = sorted((lo, hi) for _, lo, hi, *_ in intervals)
+    starts = F.array(*[F.lit(lo) for lo, _ in ordered])
+    at = F.aggregate(starts, F.lit(None).cast("long"), lambda last, x: F.when(x <= F.col("rank"), x).otherwise(last))
+    met = rows.withColumn("mine", at).join(F.broadcast(found), F.col("mine") == F.col("lo")).where(F.col("rank") <= F.col("hi"))
+    before = F.col("cum_w") - F.col("w")
+    past = (F.col("cum_w") >= F.col("half")) | (F.col("rank") == F.col("hi") - 1)
+    cut = F.min(F.when(past & (F.col("rank") < F.col("hi")), F.struct("rank", "v", "cum_w")))
+    after = F.min(F.when((F.col("rank") > F.col("lo")) & ((before >= F.col("half")) | (F.col("rank") == F.col("hi"))), F.struct("rank", "v")))
+    return {r["lo"]: (r["cut"]["rank"], r["cut"]["v"], r["after"]["v"], r["cut"]["cum_w"]) for r in met.groupBy("lo").agg(cut.alias("cut"), after.alias("after")).collect()}
+
+
 def collapse_rare(borders: list[float], counts: list[int], least: int) -> list[float]:
     """Borders without those that close a bin of fewer than ``least`` rows; counts are of bins 1, 2, ..."""
     kept, held = [], 0

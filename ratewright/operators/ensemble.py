@@ -107,6 +107,26 @@ def sampling_threshold(df: DataFrame, gradient: Column, rate: float) -> DataFram
     return best.select(F.coalesce("b", "all").alias("b")).where("b IS NOT NULL").select("b.threshold", "b.sure")
 
 
+def draw(key: Column, seed: str) -> Column:
+    """A number in [0, 1) of a key and a seed alone: the same on every try of a task, and for every engine with MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), key.cast("string")).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def drawn_rows(df: DataFrame, gradient: Column, rate: float, key: Column, seed: str, least: int = 1) -> DataFrame:
+    """The rows of ``df`` drawn with a chance in proportion to the size of their gradient, with ``inverse``, 1 / chance.
+
+    The chances sum to ``rate`` times the rows, or to ``least``, if that is more; sums of inverse * x over the drawn rows have the mean of
+    sums of x over all with a gradient.  Rows are drawn by their key, so equal keys are drawn alike.  Rows with the largest gradients are
+    sure.  Without any gradient none is drawn.
+    """
+    n = df.count()
+    found = sampling_threshold(df, gradient, min(1.0, max(rate, least / n))).first() if n else None
+    if found is None:
+        return df.where(F.lit(False)).withColumn("inverse", F.lit(1.0))
+    chance = F.least(F.lit(1.0), F.abs(gradient) / F.lit(float(found["threshold"])))
+    return df.withColumn("inverse", chance).where((F.col("inverse") > 0) & (draw(key, seed) < F.col("inverse"))).withColumn("inverse", 1 / F.col("inverse"))
+
+
 def class_histogram(df: DataFrame, leaf: Column, bins: dict[int, Column], label: str, probabilities: dict[str, Column], weight: str) -> DataFrame:
     """class, leaf, axis, bin, g, h, n: softmax gradients (p - hit) and curvatures (p (1 - p)) of each class, in one shuffle."""
     hits = {k: F.when(F.col(label) == k, 1.0).otherwise(0.0) for k in probabilities}

@@ -15,11 +15,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import ExactnessError
+from ..errors import ExactnessError, InputValueError
 from ..functions import expr as X
-from ..operators import binning, encode, training
+from ..operators import binning, encode, ensemble, training
 from ..sources.book import categorical_features, select_features, validate
-from ..sources.shared import new_path, written
+from ..sources.shared import delete, new_path, written
 
 
 @dataclass
@@ -53,11 +53,39 @@ class Settings:
     holdout: float = 0.0
     patience: int = 10
     strength: float = 20.0
+    #: Threshold of gradient sums, bound of a step before the rate (None: none), and rows that outweigh half of a leaf's parent (0: no smoothing).
+    l1: float = 0.0
+    most_step: float | None = None
+    smoothing: float = 0.0
+    #: Most features of a tree (0: as many as its depth), and sets of features outside of which none meet (none: all may).
+    order: int = 0
+    groups: list[list[str]] = field(default_factory=list)
+    #: A split on a further feature has to gain this share of the tree's first split; adaptive: more for each feature beyond two, less in
+    #: rounds whose first split gains less than that of the rounds before, of which each counts by ``memory`` less than the one after it.
+    hurdle: float = 0.0
+    adaptive: bool = False
+    memory: float = 0.99
+    #: Cells that a tree's features may have by the borders in use before its splits rank lower (0: any), the power and, beyond three features, the shrinkage.
+    table_cells: int = 0
+    table_power: float = 0.5
+    table_shrink: float = 2.0
+    #: Folds (of keys) whose rows do not take part in the encodings that fitting gives them; 0: all rows do.
+    folds: int = 0
     #: The rate of round t is rate / (1 + decay * t).
     decay: float = 0.0
     #: Share of the features that a round may split on, drawn anew for each.
     columns: float = 1.0
     seed: int = 0
+    #: Share of the rows that the splits of a round are sought on, drawn by gradient; the leaves take all rows.
+    sample: float = 1.0
+    sample_least: int = 1000
+    #: Chance of each tree to be left out of the scores while the next one is fitted.
+    dropout: float = 0.0
+    #: Accelerated boosting: a second score runs ahead, and trees are fitted between the two.
+    momentum: bool = False
+    #: After each so many trees, all leaves so far are refitted together (0: never), with this penalty.
+    refit_every: int = 0
+    refit_l2: float = 1.0
     monotone: dict[str, int] = field(default_factory=dict)
 
 
@@ -66,22 +94,31 @@ class Model:
     settings: Settings
     features: list[str]
     borders: list[list[float]]
-    levels: dict[str, dict[str, float]]
+    #: For each text feature, the encoding of each level, or the folder of a table of them (member, encoding).
+    levels: dict[str, dict[str, float] | str]
     unseen: dict[str, float]
     f0: float
     trees: list[Tree]
     history: list[float] = field(default_factory=list)
 
-    def bins(self) -> list[Column]:
-        """The bin of each feature; categories go through their encodings, unknown ones through the base."""
-        out = []
-        for name, borders in zip(self.features, self.borders, strict=True):
+    def encoded(self, df: DataFrame) -> tuple[DataFrame, list[Column]]:
+        """``df``, with what it needs to number its levels, and the numeric value of each feature; unknown levels take the base.
+
+        Few levels are constants of the plan; where there are more than MAP_LEVELS, ``levels`` names a table, which is joined.
+        """
+        out: list[Column] = []
+        for k, name in enumerate(self.features):
             column = F.col(name)
-            if name in self.levels:
-                table = F.create_map(*[x for k, v in self.levels[name].items() for x in (F.lit(k), F.lit(v))])
+            known = self.levels.get(name)
+            if isinstance(known, str):
+                table = df.sparkSession.read.parquet(known).select(F.col("member").alias(f"_member{k}"), F.col("encoding").alias(f"_encoding{k}"))
+                df = df.join(table, encode.level_of(column) == F.col(f"_member{k}"), "left").drop(f"_member{k}")
+                column = F.coalesce(F.col(f"_encoding{k}"), F.lit(self.unseen[name]))
+            elif known is not None:
+                table = F.create_map(*[x for level, v in known.items() for x in (F.lit(level), F.lit(v))]) if known else F.lit(None).cast("map<string,double>")
                 column = F.coalesce(table[encode.level_of(column)], F.lit(self.unseen[name]))
-            out.append(X.bin_index(column, borders))
-        return out
+            out.append(column)
+        return df, out
 
     def binned(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
         """``df`` with the bin of each feature, and the names of these columns, which ``df`` does not have."""
@@ -89,7 +126,10 @@ class Model:
         while any(c.lower().startswith(stem) for c in df.columns):
             stem = "_" + stem
         names = [f"{stem}{k}" for k in range(len(self.features))]
-        return df.withColumns(dict(zip(names, self.bins(), strict=True))), names
+        columns = df.columns
+        df, values = self.encoded(df)
+        bins = [X.bin_index(v, b) for v, b in zip(values, self.borders, strict=True)]
+        return df.select(*columns, *[b.alias(n) for b, n in zip(bins, names, strict=True)]), names
 
     def score(self, df: DataFrame, offset: Column | None = None) -> DataFrame:
         """``df`` with raw and prediction (a rate: without offset unless given), in place of columns of these names."""
@@ -110,32 +150,74 @@ class Model:
         return Model(settings=Settings(**d.pop("settings")), trees=trees, **d)
 
 
+#: More levels than this are kept as a table in place of a map.
+MAP_LEVELS = 5_000
+
+
 def _grids(df: DataFrame, features: list[str], y: str, weight: str, exposure: str, s: Settings):
     texts = categorical_features(df, features)
     borders, levels, unseen = [], {}, {}
     for name in features:
         if name in texts:
-            encoded = encode.fixed_encoding(df, name, y, weight, exposure, s.strength).orderBy(F.desc("encoding")).collect()
-            levels[name] = {r["member"]: r["encoding"] for r in encoded}
+            found, levels[name] = _levels(df, name, y, weight, exposure, s)
             unseen[name] = encode.base_rate(df, y, weight, exposure).first()[0]
-            values = np.unique(np.array(list(levels[name].values()), np.float32))
-            # Ranks are dealt evenly to the bins, as in encode.rank_bins.
-            dealt = np.arange(len(values)) * min(s.max_bin, len(values)) // len(values)
-            found = ((values[1:].astype(float) + values[:-1]) / 2)[np.diff(dealt) > 0].tolist()
         else:
             few = binning.distinct_values(df, name).limit(s.max_bin + 1).count() <= s.max_bin
             rows = binning.midpoint_borders(df, name) if few else binning.quantile_borders(df, name, weight, s.max_bin)
             found = sorted(r[0] for r in rows.collect())  # fewer than max_bin
+            if not few:
+                found = binning.refill_borders(df, name, weight, found, s.max_bin)
         borders.append(found)
     return borders, levels, unseen
 
 
-def _pick(hist: list, axes: list[int], s: Settings, signs: dict[int, int]) -> Split | None:
-    """The best split over all leaves; ties go to the lowest axis, then bin, then missing high."""
+def _levels(df: DataFrame, name: str, y: str, weight: str, exposure: str, s: Settings) -> tuple[list[float], dict[str, float] | str]:
+    """The borders of a text feature's encodings, and these by level: a map of a few, or a written table of many."""
+    encoded = encode.fixed_encoding(df, name, y, weight, exposure, s.strength)
+    some = encoded.limit(MAP_LEVELS + 1).collect()
+    if len(some) > MAP_LEVELS:
+        path = new_path(df.sparkSession, "levels")
+        table = written(encoded.select("member", "encoding"), path)
+        even = table.select("encoding", F.lit(1.0).alias("one"))
+        return sorted(r[0] for r in binning.quantile_borders(even, "encoding", "one", s.max_bin).collect()), path
+    known = {r["member"]: r["encoding"] for r in sorted(some, key=lambda r: (-r["encoding"], r["member"]))}
+    values = np.unique(np.array(list(known.values()), np.float32))
+    # Ranks are dealt evenly to the bins, as in encode.rank_bins.
+    dealt = np.arange(len(values)) * min(s.max_bin, len(values)) // max(len(values), 1)
+    return ((values[1:].astype(float) + values[:-1]) / 2)[np.diff(dealt) > 0].tolist(), known
+
+
+def _out_of_fold(rows: DataFrame, model: Model, s: Settings) -> tuple[DataFrame, list[Column]]:
+    """Values of the features for fitting: a row's levels are encoded without the rows of its own fold (held-out rows: as in serving)."""
+    held, values = model.encoded(rows)
+    train = rows.where(~F.col("_out"))
+    for k, name in enumerate(model.features):
+        if name in model.levels:
+            fold = encode.kfold_encoding(train, name, "_y", "_w", "_e", "_part", s.strength)
+            fold = fold.select(F.col("level").alias(f"_level{k}"), F.col("_part").alias(f"_of{k}"), F.col("encoding").alias(f"_without{k}"))
+            held = held.join(fold, (encode.level_of(F.col(name)) == F.col(f"_level{k}")) & (F.col("_part") == F.col(f"_of{k}")), "left")
+            values[k] = F.when(F.col("_out"), values[k]).otherwise(F.coalesce(F.col(f"_without{k}"), F.lit(model.unseen[name])))
+    return held, values
+
+
+def _steps(sums: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Step and twice the gain of sums (g, h, ...), with threshold and bound: the rules of ``expr.newton_step`` and ``newton_gain``."""
+    g, h = sums[..., 0], sums[..., 1] + s.l2
+    soft = np.sign(g) * np.maximum(np.abs(g) - s.l1, 0.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        step = np.where(h > 0, -soft / h, 0.0)
+    if s.most_step is not None:
+        step = np.clip(step, -s.most_step, s.most_step)
+    return step, np.maximum(0.0, -2 * soft * step - h * step * step)
+
+
+def _pick(hist: list, axes: list[int], s: Settings, signs: dict[int, int], least: float = 0.0, rank=None) -> tuple[float, Split, float] | None:
+    """Gain, split and ranking gain of the best split over all leaves; ties go to the lowest axis, then bin, then missing high.
+
+    Only gains of at least ``least`` count; ``rank(axis, bin)`` weighs them against each other, not against ``least``.
+    """
     spots = {leaf: k for k, leaf in enumerate(sorted({r["leaf"] for r in hist}))}
-    best, chosen = s.least_gain, None
-    score = lambda x: x[..., 0] ** 2 / (x[..., 1] + s.l2)
-    slope = lambda x: x[..., 0] / (x[..., 1] + s.l2)
+    best, chosen = 0.0, None
     for axis in axes:
         rows = [r for r in hist if r["axis"] == axis]
         top = max((r["bin"] for r in rows), default=0)
@@ -150,18 +232,66 @@ def _pick(hist: list, axes: list[int], s: Settings, signs: dict[int, int]) -> Sp
         low = np.stack([upto, upto + sums[:, :1]], axis=2)
         high = total - low
         sound = np.minimum(low[..., 2], high[..., 2]) >= s.least_rows
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gains = np.where(sound, score(low) + score(high) - score(total), 0.0).sum(axis=0)
-            against = sound & (signs.get(axis, 0) * (slope(high) - slope(low)) > 0)
-        usable = sound.any(axis=0)
+        (down, low_gain), (up, high_gain), (_, whole) = _steps(low, s), _steps(high, s), _steps(total, s)
+        gains = np.where(sound, low_gain + high_gain - whole, 0.0).sum(axis=0)
+        against = sound & (signs.get(axis, 0) * (down - up) > 0)
+        usable = sound.any(axis=0) & (gains > s.least_gain) & (gains >= least)
         usable[1:] &= ~against[:, 1:].any(axis=0)
         usable[0, 0] = False
         for bin_le, miss in np.argwhere(usable):
-            if gains[bin_le, miss] > best * (1 + 1e-12):
-                best, chosen = gains[bin_le, miss], Split(axis, int(bin_le), bool(miss))
+            gain = float(gains[bin_le, miss])
+            weighed = gain * (rank(axis, int(bin_le)) if rank else 1.0)
+            if weighed > best * (1 + 1e-12):
+                best, chosen = weighed, (gain, Split(axis, int(bin_le), bool(miss)), weighed)
     return chosen
 
 
+class Growth:
+    """What the trees so far say about the next: the gains of first splits and the borders in use."""
+
+    def __init__(self, features: list[str], s: Settings):
+        self.s, self.first, self.borders = s, None, {}
+        self.groups = [{features.index(f) for f in g if f in features} for g in s.groups]
+
+    def admits(self, used: set[int], axis: int) -> bool:
+        """Whether a tree on the features ``used`` may take a further one."""
+        most = self.s.order or self.s.depth
+        return len(used) < most and (not self.groups or any(used | {axis} <= g for g in self.groups))
+
+    def floor(self, n_used: int, gains: list[float]) -> float:
+        """The least gain of a split on one more feature than the ``n_used`` of a tree whose splits gained ``gains``."""
+        s = self.s
+        if s.hurdle <= 0 or not gains:
+            return 0.0
+        if not s.adaptive:
+            return s.hurdle * gains[0]
+        known = self.first if self.first else gains[0]
+        pressure = 0.25 + 0.75 * np.sqrt(min(1.0, gains[0] / known)) if known > 0 else 1.0
+        floor = s.hurdle * 2.0 ** (n_used - 1) * pressure * gains[0]
+        # From the third feature on, the split before is a measure too.
+        return max(floor, s.hurdle * pressure * gains[-1]) if n_used >= 2 and gains[-1] > 0 else floor
+
+    def rank(self, used: set[int]):
+        """The weight of a split's gain by the cells that the tree's features would have."""
+        s = self.s
+        if not s.table_cells:
+            return None
+
+        def weight(axis: int, bin_le: int) -> float:
+            features = used | {axis}
+            room = max(1.0, s.table_cells / s.table_shrink ** max(0, len(features) - 3))
+            cells = float(np.prod([2 + len(self.borders.get(a, set()) | ({bin_le} if a == axis else set())) for a in features]))
+            return 1.0 if cells <= room else (room / cells) ** s.table_power
+
+        return weight
+
+    def grown(self, splits: list[Split], gains: list[float]) -> None:
+        if gains:
+            self.first = max(gains[0], (self.first or 0.0) * self.s.memory)
+        for x in splits:
+            self.borders.setdefault(x.axis, set()).add(x.bin_le)
+
+
 def fit(df: DataFrame, features: list[str], y: str, settings: Settings | None = None, weight: str | None = None, exposure: str | None = None, key: str | None = None, held: Column | None = None, grids: tuple | None = None) -> Model:
     """Fit an ensemble to a book of rows.
 
@@ -176,7 +306,15 @@ def fit(df: DataFrame, features: list[str], y: str, settings: Settings | None =
     if out is None:
         out = (F.pmod(F.xxhash64(F.col(key)), F.lit(10_000)) < int(s.holdout * 10_000)) if key and s.holdout else F.lit(False)
     watched = held is not None or bool(s.holdout and key)
-    rows = df.select(*features, F.col(y).cast("double").alias("_y"), w.alias("_w"), e.alias("_e"), out.alias("_out"))
+    if s.sample < 1 and key is None:
+        raise InputValueError("sampling needs a key")
+    if s.momentum and (s.dropout or s.refit_every):
+        raise InputValueError("momentum goes with neither dropout nor refits")
+    if s.folds and key is None:
+        raise InputValueError("folds need a key")
+    keys = [F.col(key).alias("_key")] if s.sample < 1 else []
+    keys += [F.pmod(F.xxhash64(F.lit(s.seed), F.lit("fold"), F.col(key)), F.lit(s.folds)).alias("_part")] if s.folds else []
+    rows = df.select(*features, F.col(y).cast("double").alias("_y"), w.alias("_w"), e.alias("_e"), out.alias("_out"), *keys)
     train = rows.where(~F.col("_out"))
     borders, levels, unseen = grids or _grids(train, features, "_y", "_w", "_e", s)
     log = X.LINKS[s.loss] == "log"
@@ -187,30 +325,58 @@ def fit(df: DataFrame, features: list[str], y: str, settings: Settings | None =
     model = Model(s, features, borders, levels, unseen, float(f0), [])
     offset = F.ln("_e") if log else F.lit(0.0)
     names = [f"_b{k}" for k in range(len(features))]
-    binned = rows.select(*[b.cast("short").alias(n) for b, n in zip(model.bins(), names, strict=True)], "_y", "_w", "_out", (F.lit(f0) + offset).alias("_raw")).persist()
+    held_rows, values = _out_of_fold(rows, model, s) if s.folds else model.encoded(rows)
+    binned = held_rows.select(*[X.bin_index(v, b).cast("short").alias(n) for v, b, n in zip(values, borders, names, strict=True)], "_y", "_w", "_out", *(["_key"] if s.sample < 1 else []), (F.lit(f0) + offset).alias("_base")).withColumns({"_raw": F.col("_base"), "_ahead": F.col("_base")})
+    binned = binned.persist()
     bins = [F.col(n) for n in names]
     signs = {features.index(k): v for k, v in s.monotone.items()}
     deviance = "binomial" if s.loss == "logistic" else s.loss
-    g, h = X.grad_hess(s.loss, F.col("_y"), F.col("_raw"), s.power)
-    best, since, base = np.inf, 0, binned
+    best, since, base, cuts = np.inf, 0, binned, _Cuts(df.sparkSession)
+    grown, shares = [], np.zeros(0)  # trees as fitted, and their shares in the scores with momentum
+    ahead, kept, growth = np.zeros(0), [], Growth(features, s)
     for step in range(s.rounds):
-        fitted, splits = binned.where(~F.col("_out")), []
+        rate = s.rate / (1 + s.decay * step)
+        dropped = dropped_trees(len(model.trees), s.dropout, s.seed, step)
+        theta = 2 / (step + 2)
+        at = without(F.col("_raw"), [model.trees[k] for k in dropped], bins)
+        if s.momentum:
+            at = between(F.col("_raw"), F.col("_ahead"), step)
+        g, h = X.grad_hess(s.loss, F.col("_y"), F.col("_at"), s.power)
+        fitted = binned.withColumn("_at", at).where(~F.col("_out"))
         drawn = np.random.default_rng([s.seed, step]).permutation(len(bins))[: max(1, round(s.columns * len(bins)))]
-        axes = sorted(drawn.tolist())
-        for _ in range(s.depth):
-            leaf = X.leaf_index([(bins[x.axis], x.bin_le, x.missing_low) for x in splits])
-            split = _pick(training.gradient_histogram(fitted, leaf, {a: bins[a] for a in axes}, g, h, F.col("_w")).collect(), axes, s, signs)
-            if split is None:
-                break
-            splits.append(split)
+        some, w_some = fitted, F.col("_w")
+        if s.sample < 1:
+            some, w_some = ensemble.drawn_rows(fitted, F.col("_w") * g, s.sample, F.col("_key"), f"{s.seed}|{step}", s.sample_least), F.col("_w") * F.col("inverse")
+        splits = _grow(some, bins, sorted(drawn.tolist()), s, signs, g, h, w_some, growth)
         if not splits:
             break
         leaf = X.leaf_index([(bins[x.axis], x.bin_le, x.missing_low) for x in splits])
-        values = {r["leaf"]: r["value"] for r in training.leaf_values(fitted, leaf, g, h, F.col("_w"), s.l2, s.rate / (1 + s.decay * step)).collect()}
-        model.trees.append(Tree(splits, [float(values.get(k, 0.0)) for k in range(1 << len(splits))]))
-        binned = binned.withColumn("_raw", F.col("_raw") + model.trees[-1].value(bins))
-        if step % 10 == 9:
-            binned = _cut(binned)
+        leaves = training.newton_leaves(fitted, leaf, g, h, F.col("_w"), s.l2, s.l1, rate, s.most_step)
+        if s.smoothing:
+            leaves = training.path_smoothed(leaves, len(splits), s.smoothing, s.l2, s.l1, rate, s.most_step)
+        values = {r["leaf"]: r["value"] for r in leaves.collect()}
+        tree = Tree(splits, [float(values.get(k, 0.0)) for k in range(1 << len(splits))])
+        if s.momentum:
+            binned = binned.withColumns(after_round(at, F.col("_ahead"), tree.value(bins), step, "_raw", "_ahead"))
+            grown.append(tree)
+            shares, ahead = np.append((1 - theta) * shares + theta * ahead, 1.0), np.append(ahead, 1 / theta)
+            model.trees = [scaled(t, a) for t, a in zip(grown, shares, strict=True)]
+        elif dropped:
+            # The new tree and those left out share their weight, so that the sum does not overshoot.
+            k = len(dropped)
+            tree = scaled(tree, 1 / (k + 1))
+            for i in dropped:
+                model.trees[i] = scaled(model.trees[i], k / (k + 1))
+            binned = binned.withColumn("_raw", sum((model.trees[i].value(bins) for i in dropped), at) + tree.value(bins))
+            model.trees.append(tree)
+        else:
+            binned = binned.withColumn("_raw", F.col("_raw") + tree.value(bins))
+            model.trees.append(tree)
+        if s.refit_every and (step + 1) % s.refit_every == 0:
+            binned = _refitted(binned, model, bins)
+        if step % 10 == 9 or dropped or (s.momentum and step % 3 == 2):
+            binned = cuts.cut(binned)
+        kept.append([Tree(t.splits, t.leaves) for t in model.trees] if watched and (s.dropout or s.momentum or s.refit_every) else None)
         if watched:
             mu = X.inverse_link(X.LINKS[s.loss], F.col("_raw"))
             now = binned.where("_out").agg(F.sum(F.col("_w") * X.unit_deviance(deviance, F.col("_y"), mu, s.power)) / F.sum("_w")).first()[0]
@@ -219,11 +385,76 @@ def fit(df: DataFrame, features: list[str], y: str, settings: Settings | None =
             if since >= s.patience:
                 break
     if model.history:
-        model.trees = model.trees[: int(np.argmin(model.history)) + 1]
+        last = int(np.argmin(model.history))
+        # Where later rounds change earlier trees, those of the best round were kept.
+        model.trees = kept[last] if kept[last] is not None else model.trees[: last + 1]
     base.unpersist()
+    cuts.clear()
     return model
 
 
+def _grow(rows: DataFrame, bins: list[Column], axes: list[int], s: Settings, signs: dict[int, int], g: Column, h: Column, w: Column, growth: Growth) -> list[Split]:
+    """The splits of one tree, a histogram for each level.
+
+    A further feature has to rank above the best split on those of the tree, and to pass order, groups and hurdle.
+    """
+    splits: list[Split] = []
+    gains: list[float] = []
+    for _ in range(s.depth):
+        leaf = X.leaf_index([(bins[x.axis], x.bin_le, x.missing_low) for x in splits])
+        used = {x.axis for x in splits}
+        fresh = [a for a in axes if a not in used and growth.admits(used, a)]
+        seen = [a for a in axes if a in used or a in fresh]
+        hist = training.gradient_histogram(rows, leaf, {a: bins[a] for a in seen}, g, h, w).collect() if seen else []
+        rank = growth.rank(used)
+        found = [_pick(hist, [a for a in seen if a in used], s, signs, 0.0, rank), _pick(hist, fresh, s, signs, growth.floor(len(used), gains), rank)]
+        best = max((x for x in found if x), key=lambda x: x[2], default=None)  # of equal ones the first
+        if best is None:
+            break
+        gains.append(best[0])
+        splits.append(best[1])
+    growth.grown(splits, gains)
+    return splits
+
+
+def dropped_trees(n: int, chance: float, seed: int, step: int) -> list[int]:
+    """Which of ``n`` trees a round leaves out; drawn anew for each."""
+    return np.flatnonzero(np.random.default_rng([seed, step, 1]).random(n) < chance).tolist() if chance else []
+
+
+def without(raw: Column, trees: list[Tree], bins: list[Column]) -> Column:
+    """Scores without some of the trees in them."""
+    return raw - sum((t.value(bins) for t in trees), F.lit(0.0)) if trees else raw
+
+
+def between(raw: Column, ahead: Column, step: int) -> Column:
+    """The scores that round ``step`` (0, 1, ...) of accelerated boosting is fitted at."""
+    theta = 2 / (step + 2)
+    return (1 - theta) * raw + theta * ahead
+
+
+def after_round(at: Column, ahead: Column, value: Column, step: int, raw_name: str, ahead_name: str) -> dict[str, Column]:
+    """Both scores after a round whose tree has the value ``value``."""
+    return {raw_name: at + value, ahead_name: ahead + value / (2 / (step + 2))}
+
+
+def scaled(tree: Tree, share: float) -> Tree:
+    return Tree(tree.splits, [v * share for v in tree.leaves])
+
+
+def _refitted(binned: DataFrame, model: Model, bins: list[Column]) -> DataFrame:
+    """``binned`` with the scores of the model after all its leaves were refitted on the rows that are not held out."""
+    from . import refit
+
+    leaves, sizes = refit.leaf_numbers(model.trees, bins)
+    path = new_path(binned.sparkSession, "leaves")
+    rows = written(binned.where(~F.col("_out")).select(leaves.alias("leaves"), F.col("_base").alias("base"), F.col("_y").alias("y"), F.col("_w").alias("w")), path)
+    values, _ = refit.refit_values(rows, sizes, np.concatenate([np.array(t.leaves, float) for t in model.trees]), model.settings, model.settings.refit_l2, passes=2)
+    delete(binned.sparkSession, path)
+    model.trees = refit.with_values(model.trees, values)
+    return binned.withColumn("_raw", F.col("_base") + sum((t.value(bins) for t in model.trees), F.lit(0.0)))
+
+
 def in_bag(key: str, bag: int, share: float, seed: int = 0) -> Column:
     """Whether a bag holds the rows of a key: a ``share`` of the keys, other ones in each bag."""
     return F.pmod(F.xxhash64(F.lit(seed), F.lit(bag), F.col(key)), F.lit(1_000_000)) < round(share * 1_000_000)
@@ -245,9 +476,23 @@ def fit_bags(df: DataFrame, features: list[str], y: str, settings: Settings | No
     return Model(s, features, *grids, sum(m.f0 for m in models) / bags, trees), models
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` read back from the folder of spark.checkpoint.dir."""
-    return written(df, new_path(df.sparkSession, "round"))
+class _Cuts:
+    """Tables in the folder of spark.checkpoint.dir that cut the lineage of scores; only the last one stays, until it is cleared."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, None
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = new_path(self.spark, "round")
+        out = written(df, path)
+        self.clear()
+        self.path = path
+        return out
+
+    def clear(self) -> None:
+        if self.path:
+            delete(self.spark, self.path)
+        self.path = None
 
 
 Tables = dict[tuple[int, ...], np.ndarray]
@@ -295,8 +540,9 @@ def purify(tables: Tables, weights: list[np.ndarray]) -> tuple[float, Tables]:
 def axis_weights(df: DataFrame, model: Model, weight: str | None = None, laplace: float = 1.0) -> list[np.ndarray]:
     """Mass of each bin of each feature, in one pass, smoothed by ``laplace``."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("axis"), b.cast("int").alias("bin")) for k, b in enumerate(model.bins())]))
-    rows = df.select(w.alias("w"), cells.alias("c")).groupBy("c.axis", "c.bin").agg(F.sum("w").alias("w")).collect()
+    binned, names = model.binned(df)
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("axis"), F.col(n).cast("int").alias("bin")) for k, n in enumerate(names)]))
+    rows = binned.select(w.alias("w"), cells.alias("c")).groupBy("c.axis", "c.bin").agg(F.sum("w").alias("w")).collect()
     out = [np.full(len(b) + 2, float(laplace)) for b in model.borders]
     for r in rows:
         out[r["axis"]][r["bin"]] += r["w"]

@@ -534,4 +534,4 @@ def top_rows_by_level(spark, d):
     return b.withColumn("place", F.row_number().over(over)).where("place <= 3").select(*KEYS, "level", "place")
 
 
-from . import ensemble_queries, report_queries  # noqa: E402, F401  register the rest of the queries
+from . import ensemble_queries, refit_queries, report_queries  # noqa: E402, F401  register the rest of the queries

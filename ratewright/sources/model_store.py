@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,11 @@ VERSION = 1
 
 
 def save(spark: SparkSession, path: str, model: Model, tables: Tables) -> None:
-    """Write to a new folder through Spark's own writers, so that any of its file systems will do."""
+    """Write to a new folder through Spark's own writers, so that any of its file systems will do; tables of levels go along."""
+    for k, (name, known) in enumerate(model.levels.items()):
+        if isinstance(known, str):
+            spark.read.parquet(known).write.parquet(f"{path}/levels/{k}")
+            model = replace(model, levels={**model.levels, name: f"{path}/levels/{k}"})
     spark.createDataFrame([(VERSION, model.to_json())], "version int, model string").coalesce(1).write.json(f"{path}/model")
     table_frame(spark, model, tables).write.parquet(f"{path}/cells")
 
