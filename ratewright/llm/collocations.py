@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from .ranking import ranked
 from .store import materialize, small_side
 
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: All open shards of a task together.
-OPEN_BYTES = 32 << 20
+OPEN_BYTES = 16 << 20
 LEAST = 100
 TOP = 2000
 MOST_WORDS = 5
