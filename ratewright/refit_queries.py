@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import expr as X
 from .operators import binning, cooccur, ensemble, joint, training
 from .plans import banding, boxes, refit
-from .plans.boost import Settings, Split, Tree, _cell_value, after_round, between, without
+from .plans.boost import Settings, Split, Tree, _cell_value, after_round, between, fit, without
 from .queries import BOOK_SELECT, DB, DISCOUNT, KEYS, LEAF, QB, QUANTITY, TAX, TB, TWO_WAY, _array_sql, _bin_sql, _leaf, _round, query
 from .sources.book import book
 
@@ -274,3 +274,36 @@ def momentum_rounds(spark, d):
     one = lambda s: X.leaf_index([(bins[s.axis], s.bin_le, s.missing_low)]).cast("int")
     found = rows.groupBy(one(trees[0].splits[0]).alias("leaf_a"), one(trees[1].splits[0]).alias("leaf_b")).agg(F.count("*").alias("n"), F.max("raw").alias("score"))
     return _round(found, 7, "score")
+
+
+# --- a fit ---------------------------------------------------------------------------------------------------
+
+_GRID = {"l_quantity": QUANTITY, "l_discount": DISCOUNT, "l_tax": TAX}
+_PLACES = ", ".join(f"({a}, {k})" for a, b in enumerate(_GRID.values()) for k in range(1, len(b) + 1))
+_GAIN = "gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1)"
+
+
+def _level_sql(source: str, name: str) -> str:
+    """The best split of a level: gains summed over leaves in which both sides have twenty rows."""
+    return (
+        f"{name}s AS (SELECT leaf, axis, k, sum(g) AS g, sum(h) AS h, count(*) AS n, sum(CASE WHEN [b0, b1, b2][axis + 1] <= k THEN g ELSE 0 END) AS gl, sum(CASE WHEN [b0, b1, b2][axis + 1] <= k THEN h ELSE 0 END) AS hl, count(*) FILTER ([b0, b1, b2][axis + 1] <= k) AS nl"
+        f" FROM {source}, (VALUES {_PLACES}) p(axis, k) GROUP BY 1, 2, 3),"
+        f" {name} AS (SELECT axis, k FROM (SELECT axis, k, sum(CASE WHEN nl >= 20 AND n - nl >= 20 THEN {_GAIN} ELSE 0 END) AS gain FROM {name}s GROUP BY 1, 2) ORDER BY gain DESC, axis, k LIMIT 1)"
+    )
+
+
+@query(
+    f", m AS (SELECT sum(weight * claims) / sum(weight) AS mean FROM book), r AS (SELECT {QB} AS b0, {DB} AS b1, {TB} AS b2, weight * (mean - claims) AS g, weight * mean AS h, 0 AS leaf FROM book, m), {_level_sql('r', 'one')},"
+    f" r2 AS (SELECT b0, b1, b2, g, h, CASE WHEN [b0, b1, b2][axis + 1] <= k THEN 1 ELSE 0 END AS leaf FROM r, one), {_level_sql('r2', 'two')},"
+    " r4 AS (SELECT g, h, leaf + CASE WHEN [b0, b1, b2][axis + 1] <= k THEN 2 ELSE 0 END AS leaf FROM r2, two)"
+    " SELECT CAST(leaf AS INT) AS leaf, count(*) AS n, (SELECT axis || ':' || k FROM one) || ' ' || (SELECT axis || ':' || k FROM two) AS splits, round((SELECT ln(mean) FROM m) - 0.1 * sum(g) / (sum(h) + 1), 7) AS score FROM r4 GROUP BY leaf"
+)
+def fit_first_tree(spark, d):
+    """A fit of one tree of two levels on given grids: its splits, and what its leaves give to their rows."""
+    rows = book(spark, d).select(*_GRID, "claims", "weight")
+    model = fit(rows, list(_GRID), "claims", Settings(rounds=1, rate=0.1, depth=2), weight="weight", grids=(list(_GRID.values()), {}, {}))
+    binned, names = model.binned(model.score(rows))
+    tree = model.trees[0]
+    leaf = X.leaf_index([(F.col(names[s.axis]), s.bin_le, s.missing_low) for s in tree.splits]).cast("int")
+    found = binned.groupBy(leaf.alias("leaf")).agg(F.count("*").alias("n"), F.max("raw").alias("score"))
+    return _round(found.withColumn("splits", F.lit(" ".join(f"{s.axis}:{s.bin_le}" for s in tree.splits))), 7, "score")
