@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import bin_index, missing
-from ..sources.shared import delete, new_path, written
 from .ordered import running
 
 
@@ -32,13 +31,18 @@ def midpoint_borders(df: DataFrame, value: str) -> DataFrame:
     return rows.select(F.when(mid >= F.col("next"), F.col("v")).otherwise(mid).alias("border"))
 
 
-def quantile_borders(df: DataFrame, value: str, weight: str, max_bin: int) -> DataFrame:
+def value_sums(df: DataFrame, value: str, weight: str) -> DataFrame:
+    """v, w, rank and cum_w of the distinct values in order; written once, so that grids may read it often."""
+    return running(distinct_values(df, value, weight).select("v", "w"), [F.col("v").asc()], ["w"])
+
+
+def quantile_borders(df: DataFrame, value: str, weight: str, max_bin: int, sums: DataFrame | None = None) -> DataFrame:
     """border: the distinct weighted quantiles at i / max_bin, i from 1 to max_bin - 1.
 
-    A quantile is the least value whose cumulative weight reaches its share.
+    A quantile is the least value whose cumulative weight reaches its share.  ``sums`` are :func:`value_sums` of the column.
     """
-    rows = running(distinct_values(df, value, weight), [F.col("v").asc()], ["w"])
-    total = distinct_values(df, value, weight).agg(F.sum("w").alias("total"))  # one row
+    rows = value_sums(df, value, weight) if sums is None else sums
+    total = rows.agg(F.max("cum_w").alias("total"))  # one row
     placed = rows.join(F.broadcast(total))
     target = lambda i: i / F.lit(max_bin) * F.col("total")
     past = F.col("cum_w") - F.col("w")
@@ -57,7 +61,7 @@ def separating_border(low: float, high: float) -> float:
     return float(np.float32(low) if mid >= np.float32(high) else mid)
 
 
-def refill_borders(df: DataFrame, value: str, weight: str, borders: list[float], max_bin: int) -> list[float]:
+def refill_borders(df: DataFrame, value: str, weight: str, borders: list[float], max_bin: int, sums: DataFrame | None = None) -> list[float]:
     """``borders`` and more, up to ``max_bin`` - 1, where heavy values have left some unused.
 
     Each time, of the intervals with two values or more, the heaviest (of equal ones the lowest) is parted where its weight is
@@ -68,30 +72,24 @@ def refill_borders(df: DataFrame, value: str, weight: str, borders: list[float],
     wanted = max_bin - 1 - len(borders)
     if wanted <= 0:
         return list(borders)
-    spark = df.sparkSession
-    path = new_path(spark, "values")
-    sums = running(distinct_values(df, value, weight), [F.col("v").asc()], ["w"]).select("v", "w", "rank", "cum_w")
-    rows = written(sums, path)
-    try:
-        out = sorted(float(np.float32(b)) for b in borders)
-        inner = F.lit(0) if not out else bin_index(F.col("v"), out) - 1
-        found = rows.groupBy(inner.alias("k")).agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.min(F.col("cum_w") - F.col("w")).alias("start"), F.max("cum_w").alias("end")).collect()
-        heap = [(-(r["end"] - r["start"]), r["lo"], r["hi"], r["start"], r["end"]) for r in found if r["hi"] > r["lo"]]
-        heapq.heapify(heap)
-        places: dict[int, tuple[int, float, float, float]] = {}
-        while heap and wanted:
-            if heap[0][1] not in places:
-                places |= _halves(rows, [x for x in heap if x[1] not in places])
-            _, lo, hi, start, end = heapq.heappop(heap)
-            rank, low, high, cut = places.pop(lo)
-            out.append(separating_border(low, high))
-            wanted -= 1
-            for a, b, x, y in ((lo, rank, start, cut), (rank + 1, hi, cut, end)):
-                if b > a:
-                    heapq.heappush(heap, (-(y - x), a, b, x, y))
-        return sorted(set(out))
-    finally:
-        delete(spark, path)
+    rows = value_sums(df, value, weight) if sums is None else sums
+    out = sorted(float(np.float32(b)) for b in borders)
+    inner = F.lit(0) if not out else bin_index(F.col("v"), out) - 1
+    found = rows.groupBy(inner.alias("k")).agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.min(F.col("cum_w") - F.col("w")).alias("start"), F.max("cum_w").alias("end")).collect()
+    heap = [(-(r["end"] - r["start"]), r["lo"], r["hi"], r["start"], r["end"]) for r in found if r["hi"] > r["lo"]]
+    heapq.heapify(heap)
+    places: dict[int, tuple[int, float, float, float]] = {}
+    while heap and wanted:
+        if heap[0][1] not in places:
+            places |= _halves(rows, [x for x in heap if x[1] not in places])
+        _, lo, hi, start, end = heapq.heappop(heap)
+        rank, low, high, cut = places.pop(lo)
+        out.append(separating_border(low, high))
+        wanted -= 1
+        for a, b, x, y in ((lo, rank, start, cut), (rank + 1, hi, cut, end)):
+            if b > a:
+                heapq.heappush(heap, (-(y - x), a, b, x, y))
+    return sorted(set(out))
 
 
 def _halves(rows: DataFrame, intervals: list[tuple]) -> dict[int, tuple[int, float, float, float]]:

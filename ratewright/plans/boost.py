@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field
-from itertools import combinations
+from itertools import combinations, pairwise
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -162,11 +162,13 @@ def _grids(df: DataFrame, features: list[str], y: str, weight: str, exposure: st
             found, levels[name] = _levels(df, name, y, weight, exposure, s)
             unseen[name] = encode.base_rate(df, y, weight, exposure).first()[0]
         else:
-            few = binning.distinct_values(df, name).limit(s.max_bin + 1).count() <= s.max_bin
-            rows = binning.midpoint_borders(df, name) if few else binning.quantile_borders(df, name, weight, s.max_bin)
-            found = sorted(r[0] for r in rows.collect())  # fewer than max_bin
-            if not few:
-                found = binning.refill_borders(df, name, weight, found, s.max_bin)
+            sums = binning.value_sums(df, name, weight)
+            few = [r["v"] for r in sums.select("v").limit(s.max_bin + 1).collect()]
+            if len(few) <= s.max_bin:
+                found = [binning.separating_border(a, b) for a, b in pairwise(sorted(few))]
+            else:
+                found = sorted(r[0] for r in binning.quantile_borders(df, name, weight, s.max_bin, sums).collect())  # fewer than max_bin
+                found = binning.refill_borders(df, name, weight, found, s.max_bin, sums)
         borders.append(found)
     return borders, levels, unseen
 
@@ -315,6 +317,7 @@ def fit(df: DataFrame, features: list[str], y: str, settings: Settings | None =
     keys = [F.col(key).alias("_key")] if s.sample < 1 else []
     keys += [F.pmod(F.xxhash64(F.lit(s.seed), F.lit("fold"), F.col(key)), F.lit(s.folds)).alias("_part")] if s.folds else []
     rows = df.select(*features, F.col(y).cast("double").alias("_y"), w.alias("_w"), e.alias("_e"), out.alias("_out"), *keys)
+    rows = rows.persist()  # read once, for grids and bins
     train = rows.where(~F.col("_out"))
     borders, levels, unseen = grids or _grids(train, features, "_y", "_w", "_e", s)
     log = X.LINKS[s.loss] == "log"
@@ -389,6 +392,7 @@ def fit(df: DataFrame, features: list[str], y: str, settings: Settings | None =
         # Where later rounds change earlier trees, those of the best round were kept.
         model.trees = kept[last] if kept[last] is not None else model.trees[: last + 1]
     base.unpersist()
+    rows.unpersist()
     cuts.clear()
     return model
 

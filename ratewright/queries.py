@@ -117,7 +117,8 @@ def cat_loo(spark, d):
 )
 def cat_ordered_prefix(spark, d):
     order = [(F.col("l_orderkey") * 31 + F.col("l_partkey") * 17) % 1009, *map(F.col, KEYS)]
-    return _round(encode.ordered_encoding(book(spark, d), "brand", "claims", "weight", "exposure", STRENGTH, 1.5, order).select(*KEYS, "encoding"), 8, "encoding")
+    rows = book(spark, d).select(*KEYS, "brand", "claims", "weight", "exposure")
+    return _round(encode.ordered_encoding(rows, "brand", "claims", "weight", "exposure", STRENGTH, 1.5, order).select(*KEYS, "encoding"), 8, "encoding")
 
 
 @query(f"SELECT {LEVEL} AS level, round(ln(1 + sum(weight) / (SELECT sum(weight) FROM book) * (SELECT count(*) FROM book)), 8) AS channel FROM book GROUP BY 1")
