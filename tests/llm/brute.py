@@ -59,6 +59,23 @@ def near_groups(rows):
     return {i: (f"{f:016x}", sets.root(i)) for i, f in prints}
 
 
+def five_word_shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def near_copies(rows):
+    """doc_id -> least doc_id of its group: fingerprints within three bits, or a Jaccard similarity of 0.8 or more."""
+    own = [(i, fingerprint(t), five_word_shingles(t)) for i, t in rows]
+    sets = Sets()
+    for i, *_ in own:
+        sets.root(i)
+    for (a, x, s), (b, y, t) in combinations(own, 2):
+        if (x ^ y).bit_count() <= 3 or s & t and 5 * len(s & t) >= 4 * len(s | t):
+            sets.join(a, b)
+    return {i: sets.root(i) for i, *_ in own}
+
+
 def measures(text):
     text = text or ""
     w = words(text)

@@ -48,8 +48,8 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
 
     cleaned = brute.line_dedup(kept)
     kept = [(i, t) for i, (t, n, gone) in cleaned.items() if not gone or gone < n]
-    groups = brute.near_groups(kept)
-    kept = [(i, t) for i, t in kept if groups[i][1] == i]
+    groups = brute.near_copies(kept)
+    kept = [(i, t) for i, t in kept if groups[i] == i]
     leaked = {x[0] for x in brute.contained(kept, items)}
     want = {i: t for i, t in kept if i not in leaked}
 
