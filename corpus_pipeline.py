@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratewright.llm import decontam, linededup, packing, quality, simhash
+from ratewright.llm import decontam, linededup, neardup, packing, quality
 from ratewright.llm.store import materialize
 
 
@@ -23,8 +23,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: one document of each group stays."""
-    return simhash.drop_near_duplicates(docs)
+    """Operator 3 and verified shingles: one document of each group of near copies stays."""
+    return neardup.drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
