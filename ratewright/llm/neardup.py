@@ -73,11 +73,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                 own = shingle_set(text)
                 out.append((np.uint64(fingerprint(text)).view(np.int64).item(), len(own), band_keys(own)))
             fp, n, keys = zip(*out, strict=True) if out else ([], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("copies"), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["d", "copies", "fp", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["d", "fp", "n", "keys"])
 
-    # Equal texts are one row before anything is hashed; their copies are counted on the map side.
-    one = docs.select(_digest("text").alias("d"), "text").groupBy("d").agg(F.any_value("text").alias("text"), F.count("*").alias("copies"))
-    return one.mapInArrow(run, "d binary, copies long, fp long, n long, keys array<long>")
+    # Texts are hashed where they are read: only sketches are shuffled, and copies are counted on the map side.
+    rows = docs.select(_digest("text").alias("d"), "text").mapInArrow(run, "d binary, fp long, n long, keys array<long>")
+    return rows.groupBy("d", "fp", "n", "keys").agg(F.count("*").alias("copies"))
 
 
 def _bodies(docs: DataFrame, ids: DataFrame) -> DataFrame:
