@@ -25,6 +25,8 @@ SIMILARITY = 0.8
 #: A pair at the similarity 0.8 shares no band with a chance of (1 - 0.8^5)^28 = 1.5e-5.
 BANDS = 28
 ROWS = 5
+#: Least hashes that must agree (in one byte) before texts are fetched; a pair at 0.8 has fewer with a chance of 1e-8.
+AGREE = 84
 SEED = 42
 #: Shingles hashed at once, which bounds the memory that a very long text takes.
 CHUNK = 4096
@@ -46,16 +48,16 @@ def alike(a: frozenset[bytes], b: frozenset[bytes]) -> bool:
     return shared > 0 and shared >= SIMILARITY * (len(a) + len(b) - shared) - 1e-9
 
 
-def band_keys(own: frozenset[bytes]) -> list[int]:
-    """One signed 64-bit key for each band of ROWS least hashes."""
+def band_keys(own: frozenset[bytes]) -> tuple[list[int], bytes]:
+    """One signed 64-bit key for each band of ROWS least hashes, and a byte of each of these hashes."""
     if not own:
-        return []
+        return [], b""
     hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in own), np.uint64, len(own))
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), CHUNK):
         np.minimum(least, (hashes[at : at + CHUNK, None] * _TIMES + _PLUS).min(axis=0), out=least)
     keys = [xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, ROWS))]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
+    return np.array(keys, np.uint64).view(np.int64).tolist(), least.astype(np.uint8).tobytes()
 
 
 def _digest(text: str) -> Column:
@@ -63,7 +65,7 @@ def _digest(text: str) -> Column:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """d (MD5 of the text; null as empty), fp, n (distinct shingles), keys and copies of the distinct texts of ``docs``."""
+    """d (MD5 of the text; null as empty), fp, n (distinct shingles), keys, sig and copies of the distinct texts of ``docs``."""
 
     def run(batches):
         for batch in batches:
@@ -71,13 +73,13 @@ def sketches(docs: DataFrame) -> DataFrame:
             for text in batch.column("text"):
                 text = text.as_py()
                 own = shingle_set(text)
-                out.append((np.uint64(fingerprint(text)).view(np.int64).item(), len(own), band_keys(own)))
-            fp, n, keys = zip(*out, strict=True) if out else ([], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["d", "fp", "n", "keys"])
+                out.append((np.uint64(fingerprint(text)).view(np.int64).item(), len(own), *band_keys(own)))
+            fp, n, keys, sig = zip(*out, strict=True) if out else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], names=["d", "fp", "n", "keys", "sig"])
 
     # Texts are hashed where they are read: only sketches are shuffled, and copies are counted on the map side.
-    rows = docs.select(_digest("text").alias("d"), "text").mapInArrow(run, "d binary, fp long, n long, keys array<long>")
-    return rows.groupBy("d", "fp", "n", "keys").agg(F.count("*").alias("copies"))
+    rows = docs.select(_digest("text").alias("d"), "text").mapInArrow(run, "d binary, fp long, n long, keys array<long>, sig binary")
+    return rows.groupBy("d", "fp", "n", "keys", "sig").agg(F.count("*").alias("copies"))
 
 
 def _bodies(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -101,6 +103,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, held: Scratch) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("ta", "tb", "ra", "rb").mapInArrow(run, "ra long, rb long")
 
 
+def _promising(met: DataFrame) -> DataFrame:
+    """a, b, ra, rb of the pairs ``met`` of which AGREE bytes of sa and sb agree, each once."""
+
+    def run(batches):
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in ("sa", "sb"))
+            near = pa.array((one == two).sum(axis=1) >= AGREE)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(near) for c in ("a", "b", "ra", "rb")], names=["a", "b", "ra", "rb"])
+
+    return met.select("a", "b", "ra", "rb", "sa", "sb").mapInArrow(run, "a binary, b binary, ra long, rb long").distinct()
+
+
 def _sizes_allow(one: str, two: str) -> Column:
     return F.least(one, two) >= SIMILARITY * F.greatest(one, two) - 1e-9
 
@@ -112,18 +126,18 @@ def _rooted(texts: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _mixed(texts: DataFrame, *more: str) -> DataFrame:
-    """key, d, n, root and the columns ``more`` of the texts under keys that texts of different groups share."""
-    dealt = texts.select("d", "n", "root", *more, F.explode("keys").alias("key"))
+    """key, d, n, root, sig and the columns ``more`` of the texts under keys that texts of different groups share."""
+    dealt = texts.select("d", "n", "root", "sig", *more, F.explode("keys").alias("key"))
     shared = texts.select("root", F.explode("keys").alias("key")).groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     return dealt.join(shared, "key")
 
 
 def _centred(mixed: DataFrame) -> DataFrame:
     """Pairs of each text with the centre of each of its keys: the text with most copies, of which the others were made."""
-    centre = mixed.groupBy("key").agg(F.max(F.struct("copies", "d", "n", "root")).alias("c"))
-    met = mixed.select("key", "d", "n", "root").join(centre, "key").select("d", "n", "root", F.col("c.d").alias("a"), F.col("c.n").alias("na"), F.col("c.root").alias("ra"))
+    centre = mixed.groupBy("key").agg(F.max(F.struct("copies", "d", "n", "root", "sig")).alias("c"))
+    met = mixed.select("key", "d", "n", "root", F.col("sig").alias("sb")).join(centre, "key").select("d", "n", "root", "sb", F.col("c.sig").alias("sa"), F.col("c.d").alias("a"), F.col("c.n").alias("na"), F.col("c.root").alias("ra"))
     met = met.where((F.col("root") != F.col("ra")) & _sizes_allow("n", "na"))
-    return met.select("a", F.col("d").alias("b"), "ra", F.col("root").alias("rb")).distinct()
+    return _promising(met.select("a", F.col("d").alias("b"), "ra", F.col("root").alias("rb"), "sa", "sb"))
 
 
 def _across(mixed: DataFrame) -> DataFrame:
@@ -131,13 +145,13 @@ def _across(mixed: DataFrame) -> DataFrame:
     sizes = mixed.groupBy("key", "root").agg(F.count("*").alias("c"))
     main = sizes.groupBy("key").agg(F.max_by("root", "c").alias("main"))
     odd = mixed.join(main, "key").where("root <> main")
-    one, two = (t.select("key", *[F.col(c).alias(f"{c}{x}") for c in ("d", "n", "root", "keys")]) for t, x in ((odd, "a"), (mixed, "b")))
+    one, two = (t.select("key", *[F.col(c).alias(f"{c}{x}") for c in ("d", "n", "root", "keys")], F.col("sig").alias(f"s{x}")) for t, x in ((odd, "a"), (mixed, "b")))
     first = F.col("key") == F.array_min(F.array_intersect("keysa", "keysb"))
     met = one.join(two, "key").where((F.col("roota") != F.col("rootb")) & _sizes_allow("na", "nb") & first)
     swap = F.col("da") > F.col("db")
     pick = lambda c: (F.when(swap, F.col(f"{c}b")).otherwise(F.col(f"{c}a")), F.when(swap, F.col(f"{c}a")).otherwise(F.col(f"{c}b")))
     (a, b), (ra, rb) = pick("d"), pick("root")
-    return met.select(a.alias("a"), b.alias("b"), ra.alias("ra"), rb.alias("rb")).distinct()
+    return _promising(met.select(a.alias("a"), b.alias("b"), ra.alias("ra"), rb.alias("rb"), "sa", "sb"))
 
 
 def text_groups(docs: DataFrame) -> DataFrame:
