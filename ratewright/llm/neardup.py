@@ -25,7 +25,7 @@ SIMILARITY = 0.8
 #: A pair at the similarity 0.8 shares no band with a chance of (1 - 0.8^5)^28 = 1.5e-5.
 BANDS = 28
 ROWS = 5
-#: Least hashes that must agree (in one byte) before texts are fetched; a pair at 0.8 has fewer with a chance of 1e-8.
+#: Least hashes that must agree (in one byte) before texts are fetched; a pair at 0.8 has fewer with a chance of 2e-8.
 AGREE = 84
 SEED = 42
 #: Shingles hashed at once, which bounds the memory that a very long text takes.
