@@ -128,13 +128,20 @@ def drawn_rows(df: DataFrame, gradient: Column, rate: float, key: Column, seed:
 
 
 def class_histogram(df: DataFrame, leaf: Column, bins: dict[int, Column], label: str, probabilities: dict[str, Column], weight: str) -> DataFrame:
-    """class, leaf, axis, bin, g, h, n: softmax gradients (p - hit) and curvatures (p (1 - p)) of each class, in one shuffle."""
-    hits = {k: F.when(F.col(label) == k, 1.0).otherwise(0.0) for k in probabilities}
-    classes = F.explode(F.array(*[F.struct(F.lit(k).alias("class"), (p - hits[k]).alias("g"), (p * (1 - p)).alias("h")) for k, p in probabilities.items()]))
-    rows = df.select(leaf.cast("int").alias("leaf"), F.col(weight).cast("double").alias("w"), *[b.cast("int").alias(f"b{a}") for a, b in bins.items()], classes.alias("k"))
+    """class, leaf, axis, bin, g, h, n: softmax gradients (p - hit) and curvatures (p (1 - p)) of each class, in one shuffle.
+
+    Probabilities are columns of their own before rows are repeated for each axis, and classes become rows only once
+    they are summed: expressions inside an explode are evaluated again for each use.
+    """
+    w, every = F.col("w"), range(len(probabilities))
+    rows = df.select(leaf.cast("int").alias("leaf"), F.col(weight).cast("double").alias("w"), F.col(label).alias("label"), *[b.cast("int").alias(f"b{a}") for a, b in bins.items()], *[p.alias(f"p{k}") for k, p in enumerate(probabilities.values())])
+    hits = [F.when(F.col("label") == c, 1.0).otherwise(0.0) for c in probabilities]
+    steps = [x for k in every for x in (((F.col(f"p{k}") - hits[k]) * w).alias(f"g{k}"), ((F.col(f"p{k}") * (1 - F.col(f"p{k}"))) * w).alias(f"h{k}"))]
     cells = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"b{a}").alias("bin")) for a in bins]))
-    flat = rows.select("leaf", "w", "k", cells.alias("c"))
-    return flat.groupBy("k.class", "leaf", "c.axis", "c.bin").agg(F.sum(F.col("k.g") * F.col("w")).alias("g"), F.sum(F.col("k.h") * F.col("w")).alias("h"), F.count("*").alias("n"))
+    flat = rows.select("leaf", *[f"b{a}" for a in bins], *steps).select("leaf", *[f"{c}{k}" for k in every for c in "gh"], cells.alias("c"))
+    sums = flat.groupBy("leaf", "c.axis", "c.bin").agg(*[F.sum(f"{c}{k}").alias(f"{c}{k}") for k in every for c in "gh"], F.count("*").alias("n"))
+    classes = F.explode(F.array(*[F.struct(F.lit(c).alias("class"), F.col(f"g{k}").alias("g"), F.col(f"h{k}").alias("h")) for k, c in enumerate(probabilities)]))
+    return sums.select("leaf", "axis", "bin", "n", classes.alias("k")).select("k.class", "leaf", "axis", "bin", "k.g", "k.h", "n")
 
 
 def slope_recalibration(df: DataFrame, y: str, raw: Column, weight: str, loss: str = "poisson", ridge: float = 1.0, steps: int = 6, power: float = 1.5) -> tuple[float, float, float]:

@@ -88,3 +88,21 @@ def test_rules_with_limits_off_and_undefined_measures(spark):
     assert [r.status for r in rules.factor_ae(bands, total).collect()] == ["warning", "info", "pass", "none"]
     assert [r.status for r in rules.factor_ae(bands, total, near=False).collect()] == ["warning", "pass", "pass", "none"]
     assert [r.status for r in rules.factor_ae(bands, total, limits=off).collect()] == ["warning", "warning", "warning", "none"]
+
+
+def test_class_histogram_takes_exponents_before_rows_are_repeated(spark):
+    rows = [(i % 3, float(i % 5), "ab"[i % 2], 1.0 + i % 4, (i % 7) / 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "leaf int, bin double, label string, w double, s double")
+    p, q = X.softmax([F.col("s"), -F.col("s")])
+    out = ensemble.class_histogram(df, F.col("leaf"), {0: F.col("bin"), 1: F.col("leaf")}, "label", {"a": p, "b": q}, "w")
+    repeats = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate" in x]
+    assert repeats and not any("EXP" in x.upper().replace("EXPLODE", "") for x in repeats)
+    want = {}
+    for leaf, b, label, w, s in rows:
+        one = 1 / (1 + np.exp(-2 * s))
+        for c, x in (("a", one), ("b", 1 - one)):
+            for cell in ((c, leaf, 0, int(b)), (c, leaf, 1, leaf)):
+                want[cell] = want.get(cell, 0) + np.array([w * (x - (label == c)), w * x * (1 - x), 1])
+    got = {(r["class"], r["leaf"], r["axis"], r["bin"]): (r["g"], r["h"], r["n"]) for r in out.collect()}
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
