@@ -120,19 +120,19 @@ CLASSES = (
 )
 
 
-def _class_histogram(spark, d):
+def _class_histogram(spark, d, bins):
     ps = dict(zip(_E, X.softmax([F.col("score"), 0.5 * F.col("score"), -F.col("score")]), strict=True))
-    return ensemble.class_histogram(book(spark, d), _leaf(), _bins(), "l_returnflag", ps, "weight")
+    return ensemble.class_histogram(book(spark, d), _leaf(), bins, "l_returnflag", ps, "weight")
 
 
 @query(CLASSES + " SELECT class, leaf, axis, bin, round(sum(g), 4) + CAST(0 AS DOUBLE) AS g, round(sum(h), 4) AS h, count(*) AS n FROM u GROUP BY 1, 2, 3, 4")
 def histogram_softmax(spark, d):
-    return _round(_class_histogram(spark, d), 4, "g", "h").withColumn("g", F.col("g") + 0.0)
+    return _round(_class_histogram(spark, d, _bins()), 4, "g", "h").withColumn("g", F.col("g") + 0.0)
 
 
 @query(CLASSES + " SELECT class, leaf, round(-sum(g) / (sum(h) + 1), 7) + CAST(0 AS DOUBLE) AS value FROM u WHERE axis = 0 GROUP BY 1, 2")
 def leaf_values_softmax(spark, d):
-    sums = _class_histogram(spark, d).where("axis = 0").groupBy("class", "leaf").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    sums = _class_histogram(spark, d, {0: _bins()[0]}).groupBy("class", "leaf").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
     return _round(sums.select("class", "leaf", X.newton_step(F.col("g"), F.col("h"), 1.0).alias("value")), 7, "value").withColumn("value", F.col("value") + 0.0)
 
 

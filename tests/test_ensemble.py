@@ -106,3 +106,10 @@ def test_class_histogram_takes_exponents_before_rows_are_repeated(spark):
     got = {(r["class"], r["leaf"], r["axis"], r["bin"]): (r["g"], r["h"], r["n"]) for r in out.collect()}
     assert got.keys() == want.keys()
     assert all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
+
+
+def test_leaf_values_repeat_no_rows_for_axes_they_leave_out(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["leaf_values_softmax"](spark, entry.SMOKE_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS b0#" in plan and not any(f"AS b{a}#" in plan for a in (1, 2))
