@@ -125,11 +125,16 @@ def _rooted(texts: DataFrame, roots: DataFrame) -> DataFrame:
     return texts.join(named, F.col("root") == F.col("_node"), "left").withColumn("root", F.coalesce("_root", "root")).drop("_node", "_root")
 
 
-def _mixed(texts: DataFrame, *more: str) -> DataFrame:
-    """key, d, n, root, sig and the columns ``more`` of the texts under keys that texts of different groups share."""
-    dealt = texts.select("d", "n", "root", "sig", *more, F.explode("keys").alias("key"))
-    shared = texts.select("root", F.explode("keys").alias("key")).groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    return dealt.join(shared, "key")
+def _shared(spread: DataFrame, held: Scratch) -> DataFrame:
+    """key and d of the rows of ``spread`` whose keys texts of different groups share; of texts nothing else is dealt by key."""
+    roots = spread.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    shared = held.keep(roots.where("lo < hi").select("key"), "shared")
+    return held.keep(spread.select("key", "d").join(small_side(shared, BROADCAST_NARROW), "key", "left_semi"), "spread")
+
+
+def _mixed(texts: DataFrame, spread: DataFrame, *more: str) -> DataFrame:
+    """key, d, n, root, sig and the columns ``more`` of the texts under the keys of ``spread`` (:func:`_shared`)."""
+    return spread.join(texts.select("d", "n", "root", "sig", *more), "d")
 
 
 def _centred(mixed: DataFrame) -> DataFrame:
@@ -161,11 +166,14 @@ def text_groups(docs: DataFrame) -> DataFrame:
         prints = held.keep(found.select("fp").distinct(), "prints")
         texts = found.withColumn("root", F.col("fp"))
         texts = held.keep(_rooted(texts, connected_components(near_links(prints), "a", "b")), "by-fingerprint")
+        spread = texts.select(F.explode("keys").alias("key"), "d", "root")
         for pairs_of, name, more in ((_centred, "centres", "copies"), (_across, "across", "keys")):
-            mixed = held.keep(_mixed(texts, more), f"mixed-{name}")
+            dealt = _shared(spread, held)
+            mixed = held.keep(_mixed(texts, dealt, more), f"mixed-{name}")
             pairs = held.keep(pairs_of(mixed), f"pairs-{name}")
             links = held.keep(_verified(pairs, docs, held), f"links-{name}")
             texts = held.keep(_rooted(texts, connected_components(links, "ra", "rb")), f"by-{name}")
+            spread = dealt.join(texts.select("d", "root"), "d")  # groups only grow together: no other key can be mixed
         return materialize(texts.select("d", "root"), "text-groups")
 
 

@@ -67,3 +67,13 @@ def test_repeated_ids_stay_while_a_text_leads(spark):
     rows = [(1, PROSE), (2, PROSE + " too"), (2, "another text of its own " + " ".join(f"v{k}" for k in range(40))), (3, PROSE + " also")]
     out = neardup.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit(1).alias("d")))
     assert sorted(r.doc_id for r in out.collect()) == [1, 2, 2]
+
+
+def test_only_keys_are_dealt_by_key(spark, monkeypatch):
+    """The bands of all texts are shuffled without their sketches; these join the few rows whose keys are shared."""
+    plans, keep = [], neardup.Scratch.keep
+    monkeypatch.setattr(neardup.Scratch, "keep", lambda self, df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), keep(self, df, name))[1])
+    rows = varied(3, 3, 4)
+    assert kept_ids(spark.createDataFrame(rows, "doc_id long, text string")) == wanted(rows)
+    dealt = [p for p in plans if "explode(keys" in p]
+    assert dealt and not any("sig#" in p for p in dealt)
