@@ -4,8 +4,10 @@ Texts are dealt into shards of one language and a few megabytes.  In a shard eac
 its positions (only blocks with a bit are held); a phrase's bitmap, shifted by one and met with a word's by AND, is that
 of the phrase with the word after it, and its popcount is the number of occurrences.  Phrases are extended depth first, a batch of first
 words at a time; pieces lie one position apart, so no shift leads from one to the next.  Popcounts are summed over shards.
-A shard extends only by pairs, and then by three words in a row, that are frequent in all shards together; it knows them by Bloom filters
-of a fixed size, which let all of these pass, so that counts stay exact and only the number of rows to sum depends on them.
+A shard extends only by pairs that are frequent in all shards together; it knows them by a Bloom filter of a fixed size.  Longer phrases
+are first summed by hash alone, of three words and then of four and five, in tables of a fixed size; only those whose place there is
+frequent are extended and become rows.  Filter and tables let all frequent phrases pass, so that counts stay exact and only the number
+of rows to sum depends on them.
 """
 
 from __future__ import annotations
@@ -34,6 +36,11 @@ BATCH = 1 << 16
 #: A filter of frequent phrases: its size, whatever the data, and the bits of a phrase.
 FILTER_BITS = 1 << 26
 FILTER_HASHES = 4
+#: Places of a table that sums phrases by hash, and those of one row of it.
+PLACES = 1 << 24
+PLACES_ROW = 1 << 12
+#: Rows of phrases that a task sums before they leave it.
+HELD = 1 << 18
 #: A vocabulary within both limits goes to all tasks; a longer one is joined.
 SMALL_WORDS, SMALL_BYTES = 200_000, 8 << 20
 
@@ -210,10 +217,22 @@ def _among(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return some
 
 
-def _extender(pairs, triples=None):
-    """A function over encoded shards: k1, k2, k3, n of phrases whose pairs pass a (broadcast) filter.
+def _phrase_key(k1: np.ndarray, k2: np.ndarray, k3: np.ndarray) -> np.ndarray:
+    """What stands for a phrase of four or five words in the table of sums by hash."""
+    return _filter_key(k1, k2) + k3.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
 
-    Without ``triples`` those of three words, with it those of four and five, of which all three words in a row pass that one.
+
+def _place(keys: np.ndarray) -> np.ndarray:
+    """The place of keys in the table of sums by hash."""
+    z = (keys ^ (keys >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
+    return (z ^ (z >> np.uint64(29))) & np.uint64(PLACES - 1)
+
+
+def _longer(pairs, *often):
+    """A function over encoded shards: (depth, k1, k2, k3, n) of phrases whose pairs pass a (broadcast) filter, as arrays.
+
+    Without ``often`` those of three words; with the (broadcast) places of three words, those of three to five of which all three
+    words in a row are at such a place; with the places of four and five as well, only those that are at such a place.
     """
 
     def run(batches):
@@ -224,20 +243,99 @@ def _extender(pairs, triples=None):
                 for bitmap in maps.batches():
                     keys = [one << 32, np.zeros(maps.n, np.int64), np.zeros(maps.n, np.int64)]  # of each phrase, packed
                     last, pair = one, None
-                    for depth in range(2, (3 if triples is None else MOST_WORDS) + 1):
+                    for depth in range(2, (MOST_WORDS if often else 3) + 1):
                         (parent, word, count), bitmap = maps.extend(*bitmap)
                         new = (last[parent] << 32) | one[word]
+                        keys = [k[parent] for k in keys]
+                        keys[(depth - 1) // 2] |= one[word] << 32 if depth % 2 and depth < 5 else one[word]
                         keep = _among(pairs.value, _filter_key(new, np.zeros(len(new), np.int64)))
-                        if triples is not None and depth > 2:
-                            keep &= _among(triples.value, _filter_key(pair[parent], one[word]))
+                        if often and depth > 2:
+                            keep &= _is_often(often[0].value, _filter_key(pair[parent], one[word]))
+                        if len(often) > 1 and depth > 3:
+                            keep &= _is_often(often[1].value, _phrase_key(*keys))
                         (parent, word, count), bitmap = _kept((parent, word, count), bitmap, keep)
                         if not len(parent):
                             break
-                        last, pair = one[word], new[keep]
-                        keys = [k[parent] for k in keys]
-                        keys[(depth - 1) // 2] |= last << 32 if depth % 2 and depth < 5 else last
-                        if depth > (2 if triples is None else 3):
-                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys, count)], names=["k1", "k2", "k3", "n"])
+                        last, pair, keys = one[word], new[keep], [k[keep] for k in keys]
+                        if depth > 2:
+                            yield depth, *keys, count
+
+    return run
+
+
+def _table(longer, depths, least: int):
+    """A function over encoded shards: the task's table of sums of phrases of ``depths`` words, each ``least`` at most, as rows at, sums."""
+    kind = np.min_scalar_type(least)
+
+    def run(batches):
+        table = np.zeros(PLACES, kind)
+        for depth, *keys, n in longer(batches):
+            if depth in depths:
+                place, each = np.unique(_place(_phrase_key(*keys) if depth > 3 else _filter_key(keys[0], keys[1] >> 32)), return_inverse=True)
+                table[place] = np.minimum(table[place] + np.bincount(each, n, len(place)).astype(np.int64), least)
+        table = table.reshape(-1, PLACES_ROW)
+        at = np.flatnonzero(table.any(axis=1))
+        for part in np.array_split(at, len(at) // 256 + 1):
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([table[k].tobytes() for k in part], pa.binary())], names=["at", "sums"])
+
+    return run
+
+
+def _often_rows(least: int):
+    """A function over rows at, sums, all of one at in one task: at and bits, 1 where the sum is ``least`` or more."""
+    kind = np.min_scalar_type(least)
+
+    def run(batches):
+        tables = {}
+        for batch in batches:
+            for at, sums in zip(batch.column("at").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                sums = np.frombuffer(sums, kind)
+                tables[at] = np.minimum(tables[at] + sums.astype(np.int64), least).astype(kind) if at in tables else sums
+        bits = [np.packbits(t >= least).tobytes() for t in tables.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(tables), pa.int64()), pa.array(bits, pa.binary())], names=["at", "bits"])
+
+    return run
+
+
+def _often(encoded: DataFrame, longer, depths, least: int) -> np.ndarray:
+    """A bit for each place, 1 if the phrases there occur ``least`` times together: PLACES / 8 bytes on the driver."""
+    sums = encoded.mapInArrow(_table(longer, depths, least), "at long, sums binary")
+    found = sums.repartition("at").mapInArrow(_often_rows(least), "at long, bits binary").toArrow()
+    table = np.zeros((PLACES // PLACES_ROW, PLACES_ROW // 8), np.uint8)
+    for at, bits in zip(found.column("at").to_pylist(), found.column("bits").to_pylist(), strict=True):
+        table[at] = np.frombuffer(bits, np.uint8)
+    return table.ravel()
+
+
+def _is_often(often: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether keys are at places whose bit is 1."""
+    place = _place(keys)
+    return (often[place >> np.uint64(3)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
+
+
+def _summed(rows: np.ndarray) -> np.ndarray:
+    """Rows k1, k2, k3, n with n summed by k1, k2 and k3."""
+    rows = rows[:, np.lexsort(rows[:3])]
+    starts = np.flatnonzero(np.concatenate([[True], (np.diff(rows[:3]) != 0).any(axis=0)]))
+    return np.concatenate([rows[:3, starts], np.add.reduceat(rows[3], starts)[None]])
+
+
+def _phrase_rows(longer):
+    """A function over encoded shards: k1, k2, k3, n of phrases of three words and more, summed over a task's shards up to HELD rows."""
+
+    def run(batches):
+        held, size = [], 0
+        for _, *found in longer(batches):
+            held.append(np.stack(found))
+            size += held[-1].shape[1]
+            if size > HELD:
+                held = [_summed(np.concatenate(held, axis=1))]
+                size = held[0].shape[1]
+                if size > HELD // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["k1", "k2", "k3", "n"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _summed(np.concatenate(held, axis=1))], names=["k1", "k2", "k3", "n"])
 
     return run
 
@@ -317,10 +415,11 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, shard_bytes: int = SHARD_
     two = materialize(pairs.where(F.col("f") >= least), "two")
     none = F.lit(0).cast("long")
     send = shards.sparkSession.sparkContext.broadcast
-    extended = lambda *filters: encoded.mapInArrow(_extender(*filters), "k1 long, k2 long, k3 long, n long").groupBy("k1", "k2", "k3").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     in_pairs = send(_filter(two.withColumn("k2", none)))
-    three = materialize(extended(in_pairs), "three")
-    longer = three.unionByName(extended(in_pairs, send(_filter(three))))
+    three = send(_often(encoded, _longer(in_pairs), (3,), least))
+    four = send(_often(encoded, _longer(in_pairs, three), (4, 5), least))
+    rows = encoded.mapInArrow(_phrase_rows(_longer(in_pairs, three, four)), "k1 long, k2 long, k3 long, n long")
+    longer = rows.groupBy("k1", "k2", "k3").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     ones = vocabulary.select(F.shiftleft("wid", 32).alias("k1"), none.alias("k2"), none.alias("k3"), "f")
     every = ones.unionByName(two.select("k1", none.alias("k2"), none.alias("k3"), "f")).unionByName(longer)
     size = sum((F.when(w != 0, 1).otherwise(0) for w in _unpacked()), F.lit(0))
