@@ -1,5 +1,7 @@
 """Each operator against a brute-force version, on the small tables and on awkward rows."""
 
+import os
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,6 +13,7 @@ from conftest import DATA, PROSE, edge_rows
 from pyspark.sql import functions as F
 
 from ratewright.llm import components, decontam, licenses, linededup, packing, quality, shards, simhash, tokens
+from ratewright.llm.store import CLEANUP, Scratch
 
 
 def ids_and_texts(df):
@@ -207,6 +210,22 @@ def test_line_dedup_edges(edges, nothing):
     assert linededup.line_dedup_table(nothing).count() == 0
 
 
+def test_shuffle_files_of_inner_tables_go(spark):
+    """Those of a table that is kept for one piece of work are gone once it is written."""
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    found = lambda: {f for d in folders for _, _, names in os.walk(d.getPath()) for f in names if f.startswith("shuffle_")}
+    kept = []  # held, so that nothing is left to the garbage collector
+    with Scratch(spark, "shuffles") as held:
+        before = found()
+        kept.append(spark.range(5000).groupBy((F.col("id") % 100).alias("k")).count())
+        kept.append(held.keep(kept[0], "counts"))
+        until = time.time() + 10
+        while (found() - before) and time.time() < until:
+            time.sleep(0.2)
+        assert not found() - before and kept[1].count() == 100
+    assert spark.conf.get(CLEANUP) == "false"
+
+
 def test_a_common_line_leaves_once(spark):
     df = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("own words of document number "), F.sha1(F.col("id").cast("string")), F.lit(" \nSubscribe to our weekly letter for more news "), F.lpad(F.col("id").cast("string"), 3, "0")).alias("text"))
     got = linededup.line_dedup_table(df).collect()
